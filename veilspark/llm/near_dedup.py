@@ -8,7 +8,8 @@ candidates of each other; a larger region gives each node its next neighbours an
 best with the region's most frequent values) as candidates, and splits at the next depth. A sketch that travels along drops
 candidates far below the threshold. What is left is confirmed on full sets. Candidates are confirmed in two steps, the best
 of each node first, the rest only where both ends are still apart. Nodes of crowded regions that are still in no large group
-are then held against all crowded nodes around, block by block, on full sets. Links become components by repeated minima in joins.
+are then held against all crowded nodes around, block by block, on full sets. Links become components by
+repeated contraction.
 
 Defined results: without words or text a document is alone; equal sets are one group; a null doc_id takes no part (its
 component is null, it is kept); repeated doc_ids are one node with the set of any of them; an empty table gives no rows.
@@ -29,7 +30,9 @@ from .common import read, written
 TREES, DEPTH, LEAST, SMALL, NEXT = 16, 8, 3, 8, 2
 SKETCH = 64
 #: Shingles in a block of lone nodes, and of the nodes around them.
-LONE_BLOCK, BLOCK = 1 << 18, 1 << 20
+LONE_BLOCK, BLOCK = 1 << 16, 1 << 18
+#: Ids of documents that are broadcast (8 bytes each, counted before); more are joined by a shuffle.
+MOST_IDS = 1 << 20
 _A = K.mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
 _NODES = "doc_id long, n_shingles int, f1 long, f2 long, sig binary"
 
@@ -168,7 +171,10 @@ def sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 part = batch.slice(k, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), width)], pa.binary())], names=["doc_id", "set"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids.dropDuplicates(["doc_id"]), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, set binary")
+    ids = written(ids.distinct(), "ids")
+    if ids.count() <= MOST_IDS:
+        ids = F.broadcast(ids)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, set binary")
 
 
 def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -189,18 +195,23 @@ def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """doc_id, component (its smallest member) of every node with a link. Each round takes the smallest label around and then the label of that label."""
-    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("n"))
-        low = labels.join(near, "a").select("a", F.least("c", "n").alias("l"), "c")
-        new = low.join(labels.select(F.col("a").alias("l"), F.col("c").alias("up")), "l").select("a", F.least("l", "up").alias("c"), (F.least("l", "up") != F.col("c")).alias("moved"))
-        new = written(new, "labels")
-        moved = not new.where("moved").isEmpty()
-        labels = new.select("a", "c")
-        if not moved:
-            return labels.select(F.col("a").alias("doc_id"), F.col("c").alias("component"))
+    """doc_id, component (its smallest member) of every node with a link. In each round nodes take the smallest label around,
+    then the label of that label, and links between equal labels vanish: what is left shrinks at least by half."""
+    edges = written(links.select("a", "b").where("a <> b").distinct(), "links")
+    labels = None
+    while not edges.isEmpty():
+        near = edges.union(edges.select("b", "a")).groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l"))
+        near = written(near, "near")
+        up = near.select(F.col("a").alias("l"), F.col("l").alias("up"))
+        hop = written(near.join(up, "l").select("a", F.col("up").alias("l")), "hop")
+        if labels is None:
+            labels = hop.select(F.col("a").alias("doc_id"), F.col("l").alias("component"))
+        else:
+            labels = labels.join(hop.select(F.col("a").alias("component"), "l"), "component", "left").select("doc_id", F.coalesce("l", "component").alias("component"))
+        labels = written(labels, "labels")
+        low = edges.join(hop, "a").select(F.col("l").alias("x"), "b").join(hop.select(F.col("a").alias("b"), "l"), "b")
+        edges = written(low.where("x <> l").select(F.least("x", "l").alias("a"), F.greatest("x", "l").alias("b")).distinct(), "links")
+    return labels if labels is not None else links.select(F.col("a").alias("doc_id"), F.col("a").alias("component"))
 
 
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
