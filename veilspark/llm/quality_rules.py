@@ -39,15 +39,15 @@ RULES = (
     Rule("duplicate_line_share", None, 0.5),
 )
 
-#: name: SQL over the fields of `m` and the text `t`
+#: name: SQL over the fields of `m` and the text `t`; shared subexpressions run before their guards, so no division may fail
 RATIOS = {
-    "mean_word_length": "m.word_chars / m.n_words",
+    "mean_word_length": "try_divide(m.word_chars, m.n_words)",
     "longest_word": "m.longest",
-    "symbols_per_word": "m.n_symbols / m.n_words",
-    "marks_per_word": "(length(t) - length(translate(t, '!?', ''))) / m.n_words",
-    "stop_word_share": "m.n_stop / m.n_words",
-    "capitals_share": "(length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) / m.word_chars",
-    "duplicate_line_share": "m.n_dup_lines / m.n_lines",
+    "symbols_per_word": "try_divide(m.n_symbols, m.n_words)",
+    "marks_per_word": "try_divide((length(t) - length(translate(t, '!?', ''))), m.n_words)",
+    "stop_word_share": "try_divide(m.n_stop, m.n_words)",
+    "capitals_share": "try_divide((length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))), m.word_chars)",
+    "duplicate_line_share": "try_divide(m.n_dup_lines, m.n_lines)",
 }
 
 _BLANKS = "'\t\n\x0b\x0c\r'"
