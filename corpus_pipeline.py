@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm.classifier import keep_good
-from veilspark.llm.common import read, written
+from veilspark.llm.common import bound_batches, read, written
 from veilspark.llm.line_dedup import remove_spread_lines
 from veilspark.llm.mixing import repeat_by_mix
 from veilspark.llm.near_dedup import keep_one
@@ -19,6 +19,7 @@ from veilspark.llm.packing import pack_documents
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
+    bound_batches(spark)
     return keep_good(docs, read(spark, sf_dir, "labels"))
 
 
@@ -30,6 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five words, a similarity of 0.8."""
+    bound_batches(spark)
     return keep_one(docs)
 
 
@@ -42,6 +44,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 ids."""
     import public_tokenizers
 
+    bound_batches(spark)
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -3,12 +3,38 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch: executors hold one for each task, their Python workers some copies of its parts.
+BATCH_BYTES = "8m"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _made: list[tuple[SparkSession, str]] = []
+_Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Long texts make short Arrow batches; a bound that the session has set itself stays."""
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+
+
+def tidy(run: _Run) -> _Run:
+    """`run` for mapInArrow. Python workers outlive their tasks; at its end the freed memory goes back to the system."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return whole
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import read, written
+from .common import read, tidy, written
 
 TREES, DEPTH, LEAST, SMALL, NEXT = 16, 8, 3, 8, 2
 SKETCH = 64
@@ -84,7 +84,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
                 sig.append(seen[a, b])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _NODES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), _NODES)
 
 
 def region_pairs(keys: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -157,9 +157,9 @@ def forest(nodes: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.minimum(x, y), alone])), pa.array([*np.maximum(x, y).tolist(), *[None] * len(alone)], pa.int64()), pa.array(np.concatenate([agree, np.zeros(len(alone), int)]).astype(np.int32))], names=["a", "b", "agree"])
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    orders = nodes.select("doc_id", "n_shingles", "sig").mapInArrow(grow, "tree int, key binary, doc_id long, n int, sketch binary")
+    orders = nodes.select("doc_id", "n_shingles", "sig").mapInArrow(tidy(grow), "tree int, key binary, doc_id long, n int, sketch binary")
     dealt = orders.repartitionByRange(parts, "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id")
-    return dealt.mapInArrow(pairs, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    return dealt.mapInArrow(tidy(pairs), "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
 def sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -174,7 +174,7 @@ def sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     ids = written(ids.distinct(), "ids")
     if ids.count() <= MOST_IDS:
         ids = F.broadcast(ids)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, set binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(tidy(run), "doc_id long, set binary")
 
 
 def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -191,7 +191,7 @@ def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one = pairs.select("a", "b").join(full.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
-    return one.join(full.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return one.join(full.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer
-from .common import read, written
+from .common import read, tidy, written
 
 #: Pieces that are packed together.
 GROUP = 2048
@@ -84,7 +84,7 @@ def cut(docs: DataFrame, path: str, length: int, end_id: int) -> DataFrame:
                 crc = [zlib.crc32(raw[b : b + 4 * s]) for b, s in zip(begin.tolist(), size.tolist())]
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(row + at)), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array(counts[row])], schema=_SCHEMA)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(pieces), PIECES)
 
 
 def pack(pieces: DataFrame, length: int, group: int = GROUP, seed: int = 17) -> DataFrame:
