@@ -217,6 +217,20 @@ def test_near_duplicates(spark, docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0 and near_dedup.keep_one(docs).columns == docs.columns
 
 
+def test_near_duplicates_of_large_groups_with_one_link(spark):
+    rng, rows, size = random.Random(2), [], 60
+    base = [f"w2_{k}" for k in range(300)]
+    other = base[:100] + [f"o2_{k}" for k in range(21)] + base[121:]
+    for family in (base, other):
+        for _ in range(size):
+            at = rng.choice([k for k in range(5, 290) if not 95 < k < 125])
+            rows.append((len(rows), " ".join([*family[:at], f"e2x{len(rows)}", *family[at + 1 :]])))
+    # the only pair of the two families at 85 % or above: both without their last words
+    rows[30], rows[90] = (30, " ".join(base[:294])), (90, " ".join(other[:294]))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     rows = [(k, rng.normal(0, 0.1, 8).tolist()) for k in range(900)] + [(1000, [1e18] * 8), (1050, None), (1100, [None] * 8), (1150, [float("nan")] * 8), (1200, [0.5] * 3), (1250, [0.1, 0.2, 0.3]), (None, [0.1] * 8), (5, rows5 := [0.2] * 8)]

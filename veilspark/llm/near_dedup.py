@@ -7,9 +7,9 @@ tasks). Within a region (nodes with a common prefix of at least LEAST values) th
 candidates of each other; a larger region gives each node its next neighbours and the region's hub (the node that agrees
 best with the region's most frequent values) as candidates, and splits at the next depth. A sketch that travels along drops
 candidates far below the threshold. What is left is confirmed on full sets. Candidates are confirmed in two steps, the best
-of each node first, the rest only where both ends are still apart. Nodes of crowded regions that are still in no large group
-are then held against all crowded nodes around, block by block, on full sets. Links become components by
-repeated contraction.
+of each node first, the rest only where both ends are still apart. Then every pair of different groups that share a crowded
+region is looked at, block by block: on sketches in the region, and what passes there on full sets. Links become components
+by repeated contraction.
 
 Defined results: without words or text a document is alone; equal sets are one group; a null doc_id takes no part (its
 component is null, it is kept); repeated doc_ids are one node with the set of any of them; an empty table gives no rows.
@@ -29,8 +29,10 @@ from .common import read, tidy, written
 
 TREES, DEPTH, LEAST, SMALL, NEXT = 16, 8, 3, 8, 2
 SKETCH = 64
-#: Shingles in a block of lone nodes, and of the nodes around them.
+#: Shingles in a block of asking nodes, and of the nodes around them.
 LONE_BLOCK, BLOCK = 1 << 16, 1 << 18
+#: Rows in a block of a crowded region: asking rows, and rows that answer.
+ASKING, ANSWERING = 1 << 10, 1 << 12
 #: Ids of documents that are broadcast (8 bytes each, counted before); more are joined by a shuffle.
 MOST_IDS = 1 << 20
 _A = K.mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
@@ -236,7 +238,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     rest = written(confirmed(_apart(pairs, groups), full, percent), "rest")
     links = links.union(rest)
     groups = components(links) if not rest.isEmpty() else groups
-    again = written(the_rest(nodes, found, full, groups, percent), "again")
+    again = written(the_rest(docs, nodes, found, groups, width, percent), "again")
     groups = components(links.union(again)) if not again.isEmpty() else groups
     of_node = nodes.join(groups, "doc_id", "left").select("f1", "f2", F.coalesce("component", "doc_id").alias("component"))
     placed = rows.select("doc_id", "n_shingles", "f1", "f2").join(of_node, ["f1", "f2"], "left")
@@ -244,18 +246,110 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     return placed.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def the_rest(nodes: DataFrame, found: DataFrame, full: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Links of lone nodes: those of a crowded region that are alone, or in a group of at most SMALL nodes. There the next
-    neighbours and the hubs may not be the ones a node is linked with, so it is held against all crowded nodes that candidates
-    connect it to (any agreement of sketches). Both sides are cut into blocks of bounded size, and only links leave a task."""
+def crowded_regions(rows: DataFrame) -> DataFrame:
+    """rows: doc_id, n_shingles, c, sig. One row for each tree: r (tree and the LEAST first values), doc_id, c, n, sketch."""
+    bits = np.arange(LEAST - 1, -1, -1, dtype=np.int64) * 16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, 1024) for k in range(0, len(batch), 1024)):
+                sig = np.frombuffer(b"".join(part.column(3).to_pylist()), ">u2").reshape(-1, TREES * DEPTH)
+                first = sig.reshape(-1, TREES, DEPTH)[:, :, :LEAST].astype(np.int64)
+                r = (first << bits).sum(2) + (np.arange(TREES, dtype=np.int64) << (16 * LEAST))
+                sketch = pa.array([x.tobytes() for x in (sig[:, ::2] & 0xFF).astype(np.uint8)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(r.T.reshape(-1)), *(pa.concat_arrays([x] * TREES) for x in (part.column(0), part.column(2), part.column(1), sketch))], names=["r", "doc_id", "c", "n", "sketch"])
+
+    return rows.select("doc_id", "n_shingles", "c", "sig").mapInArrow(tidy(run), "r long, doc_id long, c long, n int, sketch binary")
+
+
+def equal_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Equal bytes of each row of x with each row of y, both of 8-byte words."""
+    low, high = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
+    out = np.full((len(x), len(y)), 8 * x.shape[1], np.int16)
+    for k in range(x.shape[1]):
+        z = x[:, k, None] ^ y[None, :, k]
+        out -= np.bitwise_count((((z & low) + low) | z) & high)
+    return out
+
+
+def near_groups(ids: np.ndarray, group: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, asks: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows that may be linked with one of another group (asking rows with all others), their groups, and a group that
+    connects these: equal where a chain of such pairs leads from one to the other."""
+    names, at = np.unique(group, return_inverse=True)
+    label, flagged, least = np.arange(len(names)), np.zeros(len(ids), bool), least_agreement(percent)
+    asking, others = np.flatnonzero(asks), np.flatnonzero(~asks)
+    words = sketches.view(np.uint64)
+    for part in (asking[k : k + 64] for k in range(0, len(asking), 64)):
+        ok = (equal_bytes(words[part], words[others]) >= least) & (at[part][:, None] != at[others])
+        ok &= 100 * np.minimum(sizes[part][:, None], sizes[others]) >= percent * np.maximum(sizes[part][:, None], sizes[others])
+        for k in np.flatnonzero(ok.any(1)):
+            near = others[ok[k]]
+            flagged[near] = flagged[part[k]] = True
+            own = np.unique(np.append(label[at[near]], label[at[part[k]]]))
+            if len(own) > 1:
+                label[np.isin(label, own)] = own[0]
+    rows = np.flatnonzero(flagged)
+    return ids[rows], group[rows], names[label[at[rows]]]
+
+
+def doubtful(nodes: DataFrame, found: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """doc_id, c, l: nodes of crowded regions that by their sketches may be linked with a node of another group c there, and
+    another such group l. Every pair of different groups of a region is looked at: all rows but those of its largest group ask,
+    all rows answer, in blocks of bounded size."""
     crowded = found.where("b IS NULL").select(F.col("a").alias("doc_id"))
-    around = components(found.where("b IS NOT NULL")).withColumnRenamed("component", "k")
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    placed = around.join(crowded, "doc_id", "left_semi").join(groups, "doc_id", "left").join(sizes, "component", "left").join(nodes.select("doc_id", "n_shingles"), "doc_id")
-    placed = written(placed.select("k", "doc_id", F.coalesce("component", "doc_id").alias("c"), (F.coalesce("size", F.lit(1)) <= SMALL).alias("lone"), "n_shingles"), "crowded")
-    parts = placed.groupBy("k").agg(F.ceil(F.sum(F.when(F.col("lone"), F.col("n_shingles"))) / LONE_BLOCK).alias("nl"), F.ceil(F.sum("n_shingles") / BLOCK).alias("nm")).where("nl IS NOT NULL")
+    rows = nodes.join(crowded, "doc_id", "left_semi").join(groups, "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
+    rows = written(crowded_regions(rows), "regions")
+    parts = rows.groupBy("r", "c").agg(F.count(F.lit(1)).alias("v")).groupBy("r").agg(F.sum("v").alias("all"), F.max(F.struct("v", "c")).alias("top"))
+    parts = parts.where((F.col("all") > SMALL) & (F.col("all") > F.col("top.v")))
+    parts = parts.select("r", F.col("top.c").alias("top"), F.ceil((F.col("all") - F.col("top.v")) / ASKING).alias("nl"), F.ceil(F.col("all") / ANSWERING).alias("nm"))
+    own = F.xxhash64("doc_id")
+    all_of = rows.join(parts, "r")
+    asking = all_of.where("c <> top").withColumns({"asks": F.lit(True), "x": F.pmod(own, F.col("nl")), "y": F.explode(F.sequence(F.lit(0).cast("long"), F.col("nm") - 1))})
+    member = all_of.withColumns({"asks": F.lit(False), "y": F.pmod(own, F.col("nm")), "x": F.explode(F.sequence(F.lit(0).cast("long"), F.col("nl") - 1))})
+    blocks = asking.unionByName(member).select("r", "x", "y", "doc_id", "c", "n", "asks", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in _and_end(batches):
+            if batch is not None:
+                held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if held is None or not len(held):
+                continue
+            r, x, y = (held[name].to_numpy() for name in ("r", "x", "y"))
+            cut = np.flatnonzero((np.diff(r) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1
+            ends = [*cut, len(held)] if batch is None else cut.tolist()
+            if not len(ends):
+                continue
+            ids, group, n, asks = held["doc_id"].to_numpy(), held["c"].to_numpy(), held["n"].to_numpy().astype(np.int64), held["asks"].to_numpy()
+            sketch = np.frombuffer(b"".join(held["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+            for a, b in zip([0, *ends], ends):
+                got = near_groups(ids[a:b], group[a:b], n[a:b], sketch[a:b], asks[a:b], percent)
+                if len(got[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in got], names=["doc_id", "c", "l"])
+            held = held.slice(ends[-1]).combine_chunks()
+
+    dealt = blocks.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "r", "x", "y").sortWithinPartitions("r", "x", "y")
+    return dealt.mapInArrow(tidy(run), "doc_id long, c long, l long").distinct()
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def the_rest(docs: DataFrame, nodes: DataFrame, found: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between groups that share a crowded region. There the next neighbours and the hubs may not be the ones a node is
+    linked with, so all doubtful nodes are held against those of other groups that such pairs connect them to: all but the
+    largest group ask. Both sides are cut into blocks of bounded size, and only links leave a task."""
+    near = written(doubtful(nodes, found, groups, percent), "doubtful")
+    around = components(near.select(F.col("c").alias("a"), F.col("l").alias("b"))).select(F.col("doc_id").alias("c"), F.col("component").alias("k"))
+    placed = near.select("doc_id", "c").distinct().join(around, "c").join(nodes.select("doc_id", "n_shingles"), "doc_id")
+    placed = written(placed.select("k", "doc_id", "c", "n_shingles"), "crowded")
+    full = written(sets(docs, placed.select("doc_id"), width), "sets")
+    parts = placed.groupBy("k", "c").agg(F.sum("n_shingles").alias("v")).groupBy("k").agg(F.sum("v").alias("all"), F.max(F.struct("v", "c")).alias("top")).where(F.col("all") > F.col("top.v"))
+    parts = parts.select("k", F.col("top.c").alias("top"), F.ceil((F.col("all") - F.col("top.v")) / LONE_BLOCK).alias("nl"), F.ceil(F.col("all") / BLOCK).alias("nm"))
     own = F.xxhash64("doc_id")
-    all_of = placed.join(parts, "k")
+    all_of = placed.join(parts, "k").withColumn("lone", F.col("c") != F.col("top"))
     lone = all_of.where("lone").withColumns({"x": F.pmod(own, F.col("nl")), "y": F.explode(F.sequence(F.lit(0).cast("long"), F.col("nm") - 1))})
     member = all_of.withColumns({"y": F.pmod(own, F.col("nm")), "x": F.explode(F.sequence(F.lit(0).cast("long"), F.col("nl") - 1))}).withColumn("lone", F.lit(False))
     rows = lone.unionByName(member).join(full, "doc_id").select("k", "x", "y", "doc_id", "c", "lone", "set")
