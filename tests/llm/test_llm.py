@@ -124,6 +124,19 @@ def test_model_beats_frequencies():
     assert m.log10(u[:, 0], u[:, 1])[np.arange(len(u)), u[:, 2]].mean() > np.log10(0.6)
 
 
+def test_model_learns_from_all_triples():
+    # more distinct triples than the 4,096,000 draws of a fixed number of steps
+    counts = np.random.default_rng(2).geometric(0.4, 5_000_000).astype(np.int64)
+    counts[:3] = 10**6
+    n, batches = log_bilinear.LogBilinear().batches(counts)
+    seen, k = np.zeros(len(counts)), 0
+    for k, (rows, weight) in enumerate(batches, 1):
+        assert len(rows) <= log_bilinear.BATCH and weight.max() < 8
+        np.add.at(seen, rows, weight)
+    assert k == n and n * log_bilinear.BATCH >= log_bilinear.PASSES * len(counts)
+    assert np.allclose(seen / seen.sum(), counts / counts.sum(), rtol=1e-3, atol=0)
+
+
 def test_quality_rules(docs, empty):
     rows = {r.doc_id: r for r in quality_rules.apply_rules(docs).collect()}
     for d, t in ((r[0], r[1] or "") for r in ROWS):

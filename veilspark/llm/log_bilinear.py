@@ -3,8 +3,9 @@
 Words (lower-cased A-Z) are counted over all training documents. The most frequent have a class of their own, all others
 fall into classes by their ending. The model predicts the class of a word from the classes of the two words before it: each
 has a vector, a matrix for each position turns and adds them, and the product with the target's vector (plus a bias) is its
-score. It is trained on the counts of all class triples of the training documents (at most CLASSES^3, whatever the corpus)
-with noise from the class frequencies. Scores are normalised: the distinct contexts of a block go through one matrix product
+score. It is trained on the counts of all class triples of the training documents (at most CLASSES^3, whatever the corpus):
+PASSES times or more each distinct triple is gone through with its whole count as weight, so the steps grow with the table.
+Noise is drawn from the class frequencies. Scores are normalised: the distinct contexts of a block go through one matrix product
 and a softmax. Within a class, words have their add-half frequency, and each class of endings one place for unknown words.
 
 The TOP most frequent words travel with the tasks. Rarer words of a document are joined with the table of counts by hash.
@@ -32,7 +33,9 @@ OWN = CLASSES - ENDINGS - 1
 #: Words whose counts travel with the tasks, 12 bytes each.
 TOP = 1 << 19
 END = np.uint64(0x5EED0FE17DE17D)
-STEPS, BATCH, NOISE = 500, 8192, 64
+BATCH, NOISE = 8192, 64
+#: Passes over all triples, and the least number of steps (a small table is passed more often).
+PASSES, STEPS = 2, 500
 
 
 class LogBilinear:
@@ -44,27 +47,45 @@ class LogBilinear:
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.rng, self.n = rng, n
 
+    def batches(self, counts: np.ndarray, steps: int = STEPS) -> tuple[int, Iterator[tuple[np.ndarray, np.ndarray]]]:
+        """The number of batches, and triples and weights (1 on average) of each. In a pass the weights of a triple sum up to
+        its share of the counts; one of more than four times the mean count is dealt over several places."""
+        times = np.ceil(counts * (len(counts) / (4 * counts.sum()))).astype(np.int32)
+        order = np.repeat(np.arange(len(counts), dtype=np.int32), times)
+        each = -(-len(order) // BATCH)
+        passes, mean = max(PASSES, -(-steps // each)), counts.sum() / len(order)
+
+        def run() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for _ in range(passes):
+                self.rng.shuffle(order)
+                for part in np.array_split(order, each):
+                    yield part, (counts[part] / times[part] / mean).astype(np.float32)
+
+        return passes * each, run()
+
     def fit(self, triples: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> LogBilinear:
-        """triples: before last, last, target."""
+        """triples: before last, last, target. All of them are gone through, in at least that many steps."""
         p, n = self.p, self.n
         unigram = np.bincount(triples[:, 2], counts, n) + 0.5
         unigram /= unigram.sum()
         p["b"][:] = np.log(unigram)
         if not len(triples):
             return self
-        upto, noise = np.cumsum(counts, dtype=np.float64), np.cumsum(unigram)
+        noise = np.cumsum(unigram)
         m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
         shift = np.log(NOISE * unigram).astype(np.float32)
-        for step in range(1, steps + 1):
-            x = triples[np.minimum(np.searchsorted(upto, self.rng.random(BATCH) * upto[-1], "right"), len(triples) - 1)]
+        steps, batches = self.batches(counts, steps)
+        for step, (rows, weight) in enumerate(batches, 1):
+            x = triples[rows]
+            weight /= len(rows)
             a, b, w = x[:, 0], x[:, 1], x[:, 2]
             ra, rb = p["r"][a], p["r"][b]
             h = ra @ p["c1"] + rb @ p["c2"]
             fake = np.minimum(np.searchsorted(noise, self.rng.random(NOISE)), n - 1)  # shared by the batch
             sw = (h * p["q"][w]).sum(1) + p["b"][w] - shift[w]
             sf = h @ p["q"][fake].T + p["b"][fake] - shift[fake]
-            dw = (1 / (1 + np.exp(-sw)) - 1) / BATCH
-            df = 1 / (1 + np.exp(-sf)) / BATCH
+            dw = (1 / (1 + np.exp(-sw)) - 1) * weight
+            df = 1 / (1 + np.exp(-sf)) * weight[:, None]
             dh = dw[:, None] * p["q"][w] + df @ p["q"][fake]
             g = {"q": self._sum(w, dw[:, None] * h) + self._sum(fake, df.T @ h), "b": np.bincount(w, dw, n) + np.bincount(fake, df.sum(0), n), "c1": ra.T @ dh, "c2": rb.T @ dh, "r": self._sum(a, dh @ p["c1"].T) + self._sum(b, dh @ p["c2"].T)}
             rate = 0.02 * (1 - step / (steps + 1)) + 1e-4
@@ -205,7 +226,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     t = seen["t"].to_numpy()
     order = np.argsort(t)
     t, c = t[order], seen["c"].to_numpy()[order]
-    model = LogBilinear().fit(np.stack([t // CLASSES**2, t // CLASSES % CLASSES, t % CLASSES], 1).astype(np.int64), c)
+    model = LogBilinear().fit(np.stack([t // CLASSES**2, t // CLASSES % CLASSES, t % CLASSES], 1).astype(np.int16), c)
     end_base, log_mass = math.log10((ends + 0.5) / whole), np.log10(mass)
     kinds = "doc_id long, held_out boolean, row long, h long, m long, n_tokens long, n_known long, base double, score double"
     names = [x.split(" ")[0] for x in kinds.split(", ")]
