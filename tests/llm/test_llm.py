@@ -1,5 +1,6 @@
 """The operators against the libraries, brute force and exact round trips, on small tables with awkward rows."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -8,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from veilspark.llm import ball_tree, classifier, line_dedup, log_bilinear, mixing, near_dedup, packing, quality_rules, textkit, token_files, transducer
 from veilspark.llm.bpe import tokenizer
@@ -244,20 +246,41 @@ def test_near_duplicates_of_large_groups_with_one_link(spark):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
-def test_top_k(spark):
-    rng = np.random.default_rng(5)
-    rows = [(k, rng.normal(0, 0.1, 8).tolist()) for k in range(900)] + [(1000, [1e18] * 8), (1050, None), (1100, [None] * 8), (1150, [float("nan")] * 8), (1200, [0.5] * 3), (1250, [0.1, 0.2, 0.3]), (None, [0.1] * 8), (5, rows5 := [0.2] * 8)]
-    rows = [r for r in rows if r[0] != 1000]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+def _brute_top_k(rows, dims, k=5):
+    ok = [(j, [math.floor(256.0 * x) for x in v]) for j, v in rows if j is not None and v and all(x is not None and math.isfinite(256.0 * x) for x in v)]
+    out = {}
+    for j, q in ok:
+        if j % 50 == 0:
+            best = sorted((-sum(map(int.__mul__, q, v)), i) for i, v in ok if i != j and len(v) == len(q))[:k]
+            out.setdefault(j, []).extend((n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(best))
+    return {j: sorted(v) for j, v in out.items()}
+
+
+def _top_k(df):
     got = {}
     for r in ball_tree.top_k(df.where("vec_id % 50 = 0"), df).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    ok = [(k, np.floor(256 * np.array(v)).astype(int)) for k, v in rows if k is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    for k, q in ok:
-        if k % 50 == 0:
-            best = sorted((-int(q @ v), j) for j, v in ok if j != k and len(v) == len(q))[:5]
-            assert sorted(got[k]) == [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
-    assert set(got) == {k for k, _ in ok if k % 50 == 0} and ball_tree.top_k(df.limit(0), df.limit(0)).count() == 0
+    return {j: sorted(v) for j, v in got.items()}
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.normal(0, 0.1, 8).tolist()) for k in range(900)] + [(1000, [1e18] * 8), (1050, None), (1100, [None] * 8), (1150, [float("nan")] * 8), (1200, [0.5] * 3), (1250, [0.1, 0.2, 0.3]), (1300, [1e308] * 8), (1350, []), (None, [0.1] * 8), (5, [0.2] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = _top_k(df), _brute_top_k(rows, 8)
+    assert got == {j: v for j, v in want.items() if v} and got[1000][0][2] > 2**52
+    assert ball_tree.top_k(df.limit(0), df.limit(0)).count() == 0
+    clash = df.withColumnRenamed("vec_id", "score").withColumn("vec_id", F.col("score")).withColumn("rank", F.lit(1)).withColumn("dim", F.lit("x"))
+    assert _top_k(clash) == got
+
+
+@pytest.mark.parametrize("size", [2.0**19, 2.0**23, 2.0**27, 2.0**54, 1e200])
+def test_top_k_of_large_components_is_exact(spark, size):
+    rng = np.random.default_rng(6)
+    some = rng.uniform(0.9, 1, (300, 6)) * size  # scores close together, so that rounding would show
+    rows = [(k, v.tolist()) for k, v in enumerate(some)] + [(k, some[k - 300].tolist()) for k in range(300, 320)] + [(400 + k, v.tolist()) for k, v in enumerate(rng.normal(0, 1, (60, 6)))] + [(500, (-some[0]).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert _top_k(df) == _brute_top_k(rows, 6)
 
 
 def test_hash_index():

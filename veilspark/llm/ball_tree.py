@@ -1,30 +1,38 @@
 """Operator 10: exact top-k inner products by ball trees.
 
 Vectors are dealt to shards of at most SHARD rows as they are read, each with a ball tree (centre and radius of every
-node), and written to the shared folder, a file for each shard. Queries form blocks. One task takes a block through all
-shards, best upper bound first, and keeps each query's kth score: a shard or node whose bound q.c + |q|r is below it is
-skipped. Memory is one shard and one block, whatever the number of vectors.
-
-Defined results: vectors that are null, empty, or hold a null or a component that isn't finite take no part, nor do rows
-without an id; only vectors of the query's dimension are candidates; rows that repeat a vector are candidates each; rows
-with the query's own id count as its own; an empty table gives no rows.
+node), and written to the shared folder, a file for each shard; centres and radii of the roots form one small table beside
+them. Queries form blocks. One task takes a block through the shards, best upper bound first, and keeps each query's kth
+score: a shard or node whose bound q.c + |q|r is below it is skipped, and a shard below it for the whole block is not
+opened. Memory is one shard, one block and the block's bounds, whatever the dimension of the vectors.
+
+Bounds are doubles with a margin above their rounding; scores are exact integers: doubles where all sums stay below 2^53,
+64-bit integers below 2^63, Python's integers beyond.
+
+Defined results: vectors that are null, empty, or hold a null or a component that isn't finite (also once multiplied by
+SCALE) take no part, nor do rows without an id; only vectors of the query's dimension are candidates; rows that repeat a
+vector are candidates each; rows with the query's own id count as its own; a score beyond 64 bits is ranked by its exact
+value and returned as the nearest long; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, read
+from .common import new_path, read, tidy
 
 SHARD, LEAF, BLOCK = 16_384, 96, 64
 SCALE = 256.0
-_SHARD = "dim int, ids binary, points binary, centers binary, radii binary, nodes binary"
+_SHARD = "dim int, center binary, radius double, ids binary, points binary, centers binary, radii binary, nodes binary"
+_LONG = 2**63
 
 
 def quantised(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -32,7 +40,8 @@ def quantised(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     rows, out = [], []
     for k, v in enumerate(column):
         if v.is_valid and len(v.values) and not v.values.null_count:
-            x = np.floor(SCALE * v.values.to_numpy(zero_copy_only=False).astype(np.float64))
+            with np.errstate(over="ignore"):
+                x = np.floor(SCALE * v.values.to_numpy(zero_copy_only=False).astype(np.float64))
             if np.isfinite(x).all():
                 rows.append(k)
                 out.append(x)
@@ -68,8 +77,8 @@ def build(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return order, np.array(centers), np.array(radii), np.array(nodes, np.int64)
 
 
-def shards(vectors: DataFrame) -> str:
-    """Writes all vectors (vec_id, embedding) as shards; returns their folder."""
+def shards(vectors: DataFrame) -> tuple[str, str]:
+    """Writes all vectors (vec_id, embedding) as shards, and the table of their roots; returns both folders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
@@ -77,9 +86,10 @@ def shards(vectors: DataFrame) -> str:
         def emit(dim: int) -> pa.RecordBatch:
             ids, points = held.pop(dim)
             x = np.array(points)
-            order, centers, radii, nodes = build(x)
-            row = {"dim": dim, "ids": np.array(ids, np.int64)[order].tobytes(), "points": x[order].tobytes(), "centers": centers.tobytes(), "radii": radii.tobytes(), "nodes": nodes.tobytes()}
-            return pa.RecordBatch.from_pylist([row], pa.schema([("dim", pa.int32()), *((c, pa.binary()) for c in row if c != "dim")]))
+            with np.errstate(over="ignore", invalid="ignore"):
+                order, centers, radii, nodes = build(x)
+            row = {"dim": dim, "center": centers[0].tobytes(), "radius": float(radii[0]), "ids": np.array(ids, np.int64)[order].tobytes(), "points": x[order].tobytes(), "centers": centers.tobytes(), "radii": radii.tobytes(), "nodes": nodes.tobytes()}
+            return pa.RecordBatch.from_pylist([row], pa.schema([("dim", pa.int32()), ("center", pa.binary()), ("radius", pa.float64()), *((c, pa.binary()) for c in list(row)[3:])]))
 
         for batch in batches:
             rows, points = quantised(batch.column(1))
@@ -93,56 +103,74 @@ def shards(vectors: DataFrame) -> str:
             yield emit(dim)
 
     path = new_path(vectors.sparkSession, "shards")
-    vectors.where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, _SHARD).write.option("maxRecordsPerFile", 1).parquet(path)
-    return path
+    vectors.where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long"), "embedding").mapInArrow(tidy(run), _SHARD).write.option("maxRecordsPerFile", 1).parquet(path)
+    roots = new_path(vectors.sparkSession, "roots")
+    own = vectors.sparkSession.read.schema(_SHARD).parquet(path).select(F.col("_metadata.file_name").alias("file"), "dim", "center", "radius")
+    own.coalesce(1).write.parquet(roots)  # one row for each SHARD vectors
+    return path, roots
 
 
 class Best:
-    """The k highest scores of one query, ties to the smaller id."""
+    """The k highest scores of one query, ties to the smaller id. Scores are integers, of numpy or Python's own."""
 
     def __init__(self, k: int):
-        self.k, self.ids, self.scores, self.floor = k, np.zeros(0, np.int64), np.zeros(0), -np.inf
+        self.k, self.found, self.floor = k, [], -math.inf
 
     def offer(self, ids: np.ndarray, scores: np.ndarray, own: int) -> None:
-        keep = (scores >= self.floor) & (ids != own)
-        if keep.any():
-            ids, scores = np.concatenate([self.ids, ids[keep]]), np.concatenate([self.scores, scores[keep]])
-            top = np.lexsort((ids, -scores))[: self.k]
-            self.ids, self.scores = ids[top], scores[top]
-            if len(top) == self.k:
-                self.floor = scores[top[-1]]
+        keep = np.flatnonzero(ids != own)
+        if len(keep) > self.k and scores.dtype != object:  # those below the kth of the batch can't be among the best
+            least = np.partition(scores[keep], len(keep) - self.k)[len(keep) - self.k]
+            keep = keep[scores[keep] >= least]
+        if len(keep):
+            new = [(-int(s), int(i)) for s, i in zip(scores[keep], ids[keep]) if s >= self.floor]
+            self.found = sorted(self.found + new)[: self.k]
+            if len(self.found) == self.k:
+                self.floor = -self.found[-1][0]
+
+
+def inner_products(points: np.ndarray, query: np.ndarray, most: float) -> np.ndarray:
+    """Exact inner products of integers held as doubles; `most` bounds every partial sum."""
+    if most < 2**53:
+        return (points @ query).astype(np.int64)
+    if most < 2**62:  # a margin of two for the rounding of the bound itself
+        return points.astype(np.int64) @ query.astype(np.int64)
+    q = [int(x) for x in query]
+    return np.array([sum(int(x) * y for x, y in zip(p, q)) for p in points], object)
 
 
 def search(shard: dict, queries: np.ndarray, names: list[int], best: list[Best], rows: np.ndarray) -> None:
     """Takes the queries `rows` through one shard, each node by its bound."""
     dim = queries.shape[1]
     ids, points, centers, radii, nodes = np.frombuffer(shard["ids"], np.int64), np.frombuffer(shard["points"]).reshape(-1, dim), np.frombuffer(shard["centers"]).reshape(-1, dim), np.frombuffer(shard["radii"]), np.frombuffer(shard["nodes"], np.int64).reshape(-1, 3)
-    if np.abs(points).max() * np.abs(queries).max() * dim >= 2**52:  # beyond what doubles hold exactly
-        points, queries = points.astype(np.int64), queries.astype(np.int64)
-    bound = _bounds(queries[rows].astype(float), centers, radii)
+    # by node, so that one huge vector doesn't slow down all others
+    top = np.abs(points).max(1)
+    bound = _bounds(queries[rows], centers, radii).tolist()  # Python compares its floats with any integer
     for i, q in enumerate(rows):
-        mine, heap = best[q], [(-bound[i, 0], 0)]
+        mine, heap, size = best[q], [(-bound[i][0], 0)], float(np.abs(queries[q]).max()) * dim
         while heap:
-            top, k = heapq.heappop(heap)
-            if -top < mine.floor:
+            above, k = heapq.heappop(heap)
+            if -above < mine.floor:
                 break
             start, end, left = nodes[k]
             if left < 0:
-                mine.offer(ids[start:end], points[start:end] @ queries[q], names[q])
+                mine.offer(ids[start:end], inner_products(points[start:end], queries[q], float(top[start:end].max()) * size), names[q])
             else:
                 for child in (left, left + 1):
-                    if bound[i, child] >= mine.floor:
-                        heapq.heappush(heap, (-bound[i, child], child))
+                    if bound[i][child] >= mine.floor:
+                        heapq.heappush(heap, (-bound[i][child], child))
 
 
 def _bounds(queries: np.ndarray, centers: np.ndarray, radii: np.ndarray) -> np.ndarray:
-    exact = queries @ centers.T + np.sqrt((queries**2).sum(1))[:, None] * radii
-    return exact + 1e-9 * np.abs(exact) + 1e-6
+    """No inner product of a query with a point of the ball is larger. Where doubles overflow, the bound is infinite."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        size = np.sqrt((queries**2).sum(1))[:, None]
+        margin = 1e-9 * size * (np.sqrt((centers**2).sum(1)) + radii) + 1e-6
+        return np.nan_to_num(queries @ centers.T + size * radii + margin, nan=np.inf, posinf=np.inf, neginf=np.inf)
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """queries, vectors: vec_id, embedding. query_id, rank, vec_id, score."""
-    folder = shards(vectors)
+    folder, roots = shards(vectors)
     schema = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,35 +178,40 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(folder)
-        files = sorted(f.path for f in store.get_file_info(fs.FileSelector(base)) if f.path.endswith(".parquet"))
-        roots = None
+        root_store, root_base = fs.FileSystem.from_uri(roots)
+        root_files = [f.path for f in root_store.get_file_info(fs.FileSelector(root_base)) if f.path.endswith(".parquet")]
+
+        def bounds(q: np.ndarray) -> tuple[list[str], np.ndarray]:
+            """The shards of q's dimension and each query's bound for them; the roots are read in small batches."""
+            files, out = [], [np.zeros((len(q), 0))]
+            for f in root_files:
+                for part in pq.ParquetFile(root_store.open_input_file(f)).iter_batches(1024):
+                    part = part.filter(pc.equal(part.column("dim"), q.shape[1]))
+                    if len(part):
+                        files += part.column("file").to_pylist()
+                        center = np.frombuffer(b"".join(part.column("center").to_pylist())).reshape(-1, q.shape[1])
+                        out.append(_bounds(q, center, part.column("radius").to_numpy()))
+            return files, np.concatenate(out, 1)
+
         for whole in batches:
             for at in range(0, len(whole), BLOCK):
                 batch = whole.slice(at, BLOCK)
                 rows, points = quantised(batch.column(1))
                 names = batch.column(0).take(pa.array(rows)).to_pylist()
-                if roots is None:
-                    roots = []
-                    for f in files:
-                        for x in pq.read_table(store.open_input_file(f), columns=["dim", "centers", "radii"]).to_pylist():
-                            roots.append((f, x["dim"], np.frombuffer(x["centers"][: 8 * x["dim"]]), np.frombuffer(x["radii"][:8])[0]))
                 for dim in {len(x) for x in points}:
                     mine = [j for j, x in enumerate(points) if len(x) == dim]
                     q, own, best = np.array([points[j] for j in mine]), [names[j] for j in mine], [Best(k) for _ in mine]
-                    there = [r for r in roots if r[1] == dim]
-                    if not there:
-                        continue
-                    bound = _bounds(q, np.array([r[2] for r in there]), np.array([r[3] for r in there]))
-                    for j in np.argsort(-bound.max(0), kind="stable"):
-                        open_for = np.flatnonzero(bound[:, j] >= [b.floor for b in best])
+                    files, bound = bounds(q)
+                    for j in np.argsort(-bound.max(0), kind="stable") if files else ():
+                        open_for = np.array([i for i, b in enumerate(best) if float(bound[i, j]) >= b.floor], np.int64)
                         if len(open_for):
-                            search(pq.read_table(store.open_input_file(there[j][0])).to_pylist()[0], q, own, best, open_for)
-                    out = [(name, r + 1, int(i), int(s)) for name, b in zip(own, best) for r, (i, s) in enumerate(zip(b.ids, b.scores))]
+                            search(pq.read_table(store.open_input_file(f"{base}/{files[j]}")).to_pylist()[0], q, own, best, open_for)
+                    out = [(name, r + 1, i, max(-_LONG, min(_LONG - 1, -s))) for name, b in zip(own, best) for r, (s, i) in enumerate(b.found)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema) if out else pa.RecordBatch.from_pylist([], schema)
 
     dealt = queries.where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long"), "embedding")
     n = max(1, -(-dealt.count() // BLOCK))
-    return dealt.repartition(n, F.xxhash64("vec_id")).mapInArrow(run, "query_id long, rank int, vec_id long, score long")
+    return dealt.repartition(n, F.xxhash64("vec_id")).mapInArrow(tidy(run), "query_id long, rank int, vec_id long, score long")
 
 
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
