@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -51,6 +52,39 @@ def test_transducer_equals_the_library():
     assert n_bytes.tolist() == [len((t or "").encode()) for t in odd]
 
 
+def test_transducer_on_long_segments():
+    tool = transducer.BpeTransducer(public_tokenizers.path("piece_bpe_32k.model"))
+    odd = [c * (100_000 // len(c) + k) for c in ("a", "-", "=", " ", "ab", "the", "日") for k in (0, 1, 5)]
+    odd += ["".join(RNG.choice(kind) for _ in range(20_000)) for kind in ("-=", "ab", "abtheion", "a日")]
+    odd += ["".join(RNG.choice(["-" * RNG.randint(1, 300), "a" * RNG.randint(1, 300), "the" * RNG.randint(1, 99)]) for _ in range(200)) for _ in range(3)]
+    assert tool.texts(pa.array(odd))[1].tolist() == [len(x) for x in tool.library.encode(odd)]
+    began = time.process_time()
+    tool.texts(pa.array(["x" * 320_000]))
+    assert time.process_time() - began < 3  # chunk after chunk took 23 s
+
+
+def test_transducer_forgets_states(monkeypatch):
+    monkeypatch.setattr(transducer, "MOST_STATES", 50)
+    monkeypatch.setattr(transducer, "MOST_SEGMENTS", 50)
+    tool = transducer.BpeTransducer(public_tokenizers.path("piece_bpe_32k.model"))
+    assert [int(tool.texts(pa.array([t, t], pa.string()))[1][1]) for t in TEXTS] == [len(x) for x in tool.library.encode([t or "" for t in TEXTS])]
+
+
+@pytest.mark.parametrize("name", ["piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_count_tokens(spark, docs, empty, name):
+    path = public_tokenizers.path(name)
+    if name.endswith(".model"):
+        library = transducer.BpeTransducer(path).library
+        size = lambda t: len(library.encode(t))
+    else:
+        library = tokenizer(path).library
+        size = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    want = Counter((r[0], len((r[1] or "").encode()), size(r[1] or ""), size(r[1] or "") > 100) for r in ROWS + ROWS[:3])
+    clash = docs.unionAll(docs.where("doc_id < 3")).withColumnsRenamed({"lang": "n_tokens", "score": "over_limit"})
+    assert Counter(tuple(r) for r in transducer.count_tokens(clash, path, 100).collect()) == want
+    assert transducer.count_tokens(empty, path).count() == 0
+
+
 def test_packing(spark, docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = packing.pack_documents(docs, path, 256).toPandas()

@@ -7,9 +7,12 @@ itself), so the last token of every prefix follows from such a state alone. A tr
 of tokens. States are made when first met, and forgotten together once there are MOST_STATES.
 
 No piece reaches over a place where white space begins or beside an unknown character, so texts fall into segments that
-start in the same state. Equal segments are counted once. Long segments are cut into chunks that run side by side from a
-guessed entry state; each chunk is then a map (entry state to exit state and count), maps compose by a prefix scan, and
-chunks whose guess proves wrong run again from the state the scan gives.
+start in the same state. Equal segments are counted once. Long segments are cut into chunks. A chunk is a map from each of
+its possible entry states to the exit state and the tokens in between. The possible entry states are those that a run from
+a little before the chunk ends in, and the exits of the map before it; where these differ, also the ends of runs from each
+of the places before the chunk at which a token may begin (texts with a period, such as rules of hyphens, keep apart for
+ever what began at different places). All chunks run side by side, and equal chunks are one. Once every exit of a map is an
+entry of the next, neighbouring maps compose, in a logarithmic number of rounds, to the map of the whole segment.
 
 Defined results: null and empty texts have no bytes and no tokens; repeated rows count each; an empty table gives no rows.
 Model files of other kinds are counted by their own library.
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import read
+from .common import read, tidy
 
 MOST_STATES = 250_000
 MOST_SEGMENTS = 600_000
@@ -67,6 +70,7 @@ class BpeTransducer:
                 self.token[at] = p
         self.pairs: dict[tuple[str, str], bool] = {}
         self._forget()
+        self.longest = max(map(len, self.pieces), default=1)
         self.known = K.HashIndex(16)
         self.counts = np.zeros(0, np.int64)
 
@@ -154,23 +158,82 @@ class BpeTransducer:
         """Tokens of each segment, all characters known."""
         if len(self.states) > MOST_STATES:
             self._forget()
-        n = np.maximum(1, -(-(ends - starts) // CHUNK))
+        long = np.flatnonzero(ends - starts > CHUNK)
+        out = np.zeros(len(starts), np.int64)
+        short = np.flatnonzero(ends - starts <= CHUNK)
+        _, out[short] = self.run(cls, starts[short], ends[short], np.zeros(len(short), np.int32))
+        if len(long):
+            out[long] = self._by_chunks(cls, starts[long], ends[long])
+        return out
+
+    def _by_chunks(self, cls: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        n = -(-(ends - starts) // CHUNK)
         segment = np.repeat(np.arange(len(starts)), n)
         place = np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
         begin = starts[segment] + place * CHUNK
         end = np.minimum(begin + CHUNK, ends[segment])
-        entry = np.zeros(len(begin), np.int32)
         later = np.flatnonzero(place)
-        if len(later):  # guesses: as if the segment began a little before the chunk
-            entry[later], _ = self.run(cls, begin[later] - WARM_UP, begin[later], np.zeros(len(later), np.int32))
-        exits, counts = self.run(cls, begin, end, entry)
-        while len(later):  # the scan: maps that fit together compose, others are made anew for the state before them
-            wrong = later[exits[later - 1] != entry[later]]
-            if not len(wrong):
+        guess = np.zeros(len(begin), np.int32)
+        guess[later] = self._ends_of(cls, begin[later] - WARM_UP, begin[later])
+        # the maps: rows (chunk, entry state, exit state, tokens), by chunk and entry
+        _, alike = np.unique(K.coded(self.code[cls], begin, end), return_inverse=True)
+        alike = alike.reshape(-1)
+        chunk, entry = np.arange(len(begin)), guess
+        exits, tokens = self._map(cls, begin, end, alike, chunk, entry)
+        rounds = 0
+        while True:
+            onward = place[np.minimum(chunk + 1, len(place) - 1)] > 0
+            onward &= chunk + 1 < len(place)
+            asked = np.unique(self._pair_key(chunk[onward] + 1, exits[onward]))
+            fresh = asked[~np.isin(asked, self._pair_key(chunk, entry))]
+            if not len(fresh):
                 break
-            entry[wrong] = exits[wrong - 1]
-            exits[wrong], counts[wrong] = self.run(cls, begin[wrong], end[wrong], entry[wrong])
-        return np.add.reduceat(counts, np.flatnonzero(place == 0)) if len(counts) else counts
+            if rounds == 1:  # what differs has not met again within a chunk
+                open_ = later[np.isin(segment[later], segment[fresh >> 32])]
+                more = [self._pair_key(open_, self._ends_of(cls, begin[open_] - WARM_UP - k, begin[open_])) for k in range(1, self.longest + 1)]
+                fresh = np.setdiff1d(np.concatenate([fresh, *more]), self._pair_key(chunk, entry))
+            c, s = fresh >> 32, (fresh & 0xFFFFFFFF).astype(np.int32)
+            x, t = self._map(cls, begin, end, alike, c, s)
+            chunk, entry, exits, tokens = (np.concatenate(v) for v in ((chunk, c), (entry, s), (exits, x), (tokens, t)))
+            rounds += 1
+        return self._compose(segment, place, chunk, entry, exits, tokens)
+
+    @staticmethod
+    def _pair_key(chunk: np.ndarray, state: np.ndarray) -> np.ndarray:
+        return (np.asarray(chunk, np.int64) << 32) | np.asarray(state, np.int64)
+
+    def _ends_of(self, cls: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where runs from the first state end; equal stretches run once."""
+        _, one, alike = np.unique(K.coded(self.code[cls], starts, ends), return_index=True, return_inverse=True)
+        return self.run(cls, starts[one], ends[one], np.zeros(len(one), np.int32))[0][alike.reshape(-1)]
+
+    def _map(self, cls: np.ndarray, begin: np.ndarray, end: np.ndarray, alike: np.ndarray, chunk: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exits and tokens of (chunk, entry); equal ones run once."""
+        _, one, back = np.unique(self._pair_key(alike[chunk], entry), return_index=True, return_inverse=True)
+        exits, tokens = self.run(cls, begin[chunk[one]], end[chunk[one]], entry[one])
+        return exits[back.reshape(-1)], tokens[back.reshape(-1)]
+
+    def _compose(self, segment: np.ndarray, place: np.ndarray, chunk: np.ndarray, entry: np.ndarray, exits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Each segment's tokens: in every round a map takes up the one after it, so half as many are left (the up-sweep of a
+        prefix scan; of its prefixes only the whole is asked for)."""
+        owner, at, left = segment[chunk], place[chunk], int(place.max()) + 1
+        while left > 1:
+            half = (left + 1) // 2
+            key = (owner * half + at // 2) * 2 + at % 2
+            order = np.argsort(self._pair_key(key, entry), kind="stable")
+            owner, at, entry, exits, tokens, key = (v[order] for v in (owner, at, entry, exits, tokens, key))
+            keys = self._pair_key(key, entry)
+            first = np.flatnonzero(at % 2 == 0)
+            want = self._pair_key(key[first] + 1, exits[first])
+            found = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            has = keys[found] == want  # none where a segment ends with an odd number of maps
+            exits[first[has]], tokens[first[has]] = exits[found[has]], tokens[first[has]] + tokens[found[has]]
+            owner, at, entry, exits, tokens = owner[first], at[first] // 2, entry[first], exits[first], tokens[first]
+            left = half
+        whole = np.zeros(int(segment.max()) + 1, np.int64)
+        start = entry == 0
+        whole[owner[start]] = tokens[start]
+        return whole
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes and tokens of each row."""
@@ -248,7 +311,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
             n_bytes, n = tool.texts(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(count), SCHEMA)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
