@@ -136,41 +136,96 @@ def test_mixing(spark, empty):
     assert mixing.repeat_by_mix(df).columns == df.columns and mixing.repeat_by_mix(df).count() == rows.times.sum()
 
 
-def test_language_model(spark, docs, empty):
-    rows = {r.doc_id: r for r in log_bilinear.score_texts(docs).collect()}
-    tokens = {r[0]: (r[1] or "").encode().lower().split() + [b"END"] for r in ROWS}
+def _probability(m, a, b, w, tokens):
+    """One normalised probability, by loops over all classes and all tokens of one class."""
+    dot = lambda x, y: math.fsum(float(i) * float(j) for i, j in zip(x, y))
+    h = [dot(m.p["r"][a], m.p["c1"][:, k]) + dot(m.p["r"][b], m.p["c2"][:, k]) for k in range(m.p["r"].shape[1])]
+    top = [math.exp(dot(h, m.p["k"][k]) + float(m.p["bk"][k])) for k in range(len(m.p["k"]))]
+    inside = {x: math.exp(dot(h, m.p["q"][x]) + float(m.p["b"][x])) for x in tokens if x // log_bilinear.SIZE == w // log_bilinear.SIZE}
+    return top[w // log_bilinear.SIZE] / sum(top) * inside[w] / sum(inside.values())
+
+
+@pytest.mark.parametrize("top,part", [(1 << 19, 1 << 22), (20, 500)])
+def test_language_model(spark, docs, empty, monkeypatch, top, part):
+    monkeypatch.setattr(log_bilinear, "TOP", top)
+    monkeypatch.setattr(log_bilinear, "PART", part)  # more than one trainer
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
-    c = Counter(t for d, ts in tokens.items() if not held(d) for t in ts)
+    table = docs.withColumnsRenamed({"lang": "h", "score": "base_score", "times": "n_tokens"})
+    got = log_bilinear.learn(docs.where(~log_bilinear.held_out(F.col("doc_id"))))
+    rows = {r.doc_id: r for r in log_bilinear.score_texts(table, got).collect()}
+    tokens = {r[0]: (r[1] or "").encode().lower().split() for r in ROWS}
+    c = Counter(t for d, ts in tokens.items() if not held(d) for t in [*ts, "END"])
     whole = sum(c.values()) + 0.5 * (len(c) + 1)
+    hashes, _, own, endings = got.words.value
+    hashed = lambda w: int(textkit.hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    place = {int(h): log_bilinear.SIZE + k for k, h in enumerate(hashes[:own])}
+    ending = {int(x): log_bilinear.RARE + 1 + k for k, x in enumerate(endings)}
+    token = {w: place.get(hashed(w), ending.get(int.from_bytes(w[:-4:-1].ljust(3, b"\0"), "big"), log_bilinear.RARE)) for ts in tokens.values() for w in ts}
+    common = [w for w in c if w != "END" and token[w] >= log_bilinear.SIZE]
+    assert len(common) == own > 10 and all(c[w] >= log_bilinear.LEAST for w in common)
+    mass = Counter()
+    for w, n in c.items():
+        if w != "END" and token[w] < log_bilinear.SIZE:
+            mass[token[w]] += n + 0.5
+    used = [*range(log_bilinear.RARE + 1 + len(endings)), *place.values()]
+    known = {}
     for d, ts in tokens.items():
         r = rows[d]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(d), len(ts), sum(c[t] > 0 for t in ts), sum(c.values()))
-        assert r.base_score == pytest.approx(sum(np.log10((c[t] + 0.5) / whole) for t in ts)) and r.score < 0
-    assert log_bilinear.score_texts(empty).count() == 0
-    p = 10.0 ** log_bilinear.LogBilinear().log10(np.array([1, 2]), np.array([3, 4]))
-    assert p.sum(1) == pytest.approx([1, 1], abs=1e-4)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(d), len(ts) + 1, sum(c[t] > 0 for t in [*ts, "END"]), sum(c.values()))
+        assert r.base_score == pytest.approx(sum(np.log10((c[t] + 0.5) / whole) for t in [*ts, "END"]))
+        if len(ts) > 100:
+            continue
+        ids, score = [0, 0, *(token[w] for w in ts), 0], 0.0
+        for k, w in enumerate([*ts, "END"]):
+            at = tuple(ids[k : k + 3])
+            if at not in known:
+                known[at] = _probability(got.model, *at, used)
+            score += math.log10(known[at])
+            if ids[k + 2] < log_bilinear.SIZE and w != "END":
+                score += math.log10((c[w] + 0.5) / (mass[token[w]] + 0.5))
+        assert r.score == pytest.approx(score, abs=1e-3 * len(ids))
+    # all probabilities after a context sum up to 1, an unknown word's place in each ending included
+    every = np.array(used)
+    assert (10 ** got.model.log10(np.full(len(every), used[-1]), np.full(len(every), 1), every)).sum() == pytest.approx(1, abs=1e-4)
+    assert log_bilinear.score_texts(empty).count() == 0 and log_bilinear.score_texts(empty, got).count() == 0
 
 
 def test_model_beats_frequencies():
     rng = np.random.default_rng(1)
-    a = rng.integers(1, 8, 20000)
-    t = np.stack([a, a, (a * 3) % 8], 1)
+    a = rng.integers(1, 200, 20000)
+    t = np.stack([a, a, (a * 3) % 200], 1)
     u, c = np.unique(t, axis=0, return_counts=True)
-    m = log_bilinear.LogBilinear().fit(u, c, 200)
-    assert m.log10(u[:, 0], u[:, 1])[np.arange(len(u)), u[:, 2]].mean() > np.log10(0.6)
-
-
-def test_model_learns_from_all_triples():
-    # more distinct triples than the 4,096,000 draws of a fixed number of steps
-    counts = np.random.default_rng(2).geometric(0.4, 5_000_000).astype(np.int64)
-    counts[:3] = 10**6
-    n, batches = log_bilinear.LogBilinear().batches(counts)
-    seen, k = np.zeros(len(counts)), 0
-    for k, (rows, weight) in enumerate(batches, 1):
-        assert len(rows) <= log_bilinear.BATCH and weight.max() < 8
-        np.add.at(seen, rows, weight)
-    assert k == n and n * log_bilinear.BATCH >= log_bilinear.PASSES * len(counts)
-    assert np.allclose(seen / seen.sum(), counts / counts.sum(), rtol=1e-3, atol=0)
+    m = log_bilinear.LogBilinear(np.bincount(t[:, 2], minlength=200).astype(float))
+    frequencies = m.log10(u[:, 0], u[:, 1], u[:, 2]).mean()
+    m.fit(iter([(u, c)]), c.mean(), 600, passes=600)
+    assert m.log10(u[:, 0], u[:, 1], u[:, 2]).mean() > np.log10(0.5) > frequencies + 1
+
+
+def test_model_goes_through_all_triples(monkeypatch):
+    monkeypatch.setattr(log_bilinear, "BATCH", 512)
+    counts = np.random.default_rng(2).geometric(0.4, 50_000).astype(np.int64)
+    counts[:3] = 10**4
+    t = np.arange(50_000)
+    triples, seen = np.stack([t % 900, t // 900, t % 7], 1).astype(np.int32), np.zeros(50_000)
+
+    def gradient(self, x, weight, noise, rng):
+        assert len(x) <= 513 and (weight * len(x)).max() < 8
+        np.add.at(seen, x[:, 1] * 900 + x[:, 0], weight * len(x))
+        return {k: np.zeros_like(v) for k, v in self.p.items()}
+
+    monkeypatch.setattr(log_bilinear.LogBilinear, "_gradient", gradient)
+    m = log_bilinear.LogBilinear(np.ones(900))
+    chunks = ((triples[k : k + 9000], counts[k : k + 9000]) for k in range(0, 50_000, 9000))
+    assert m.fit(chunks, counts.mean(), 99, passes=2) == 50_000
+    assert np.allclose(seen * counts.mean() / 2, counts, rtol=1e-3)
+
+
+def test_model_gains_on_held_out_texts(spark):
+    rng = random.Random(4)
+    say = [[f"{x}{k}" for k in range(150)] for x in ("al", "be", "ga", "de")]
+    rows = [(d, " ".join(rng.choice(say[d % 4]) for _ in range(120))) for d in range(600)]
+    got = log_bilinear.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").toPandas()
+    assert len(got) > 80 and (got.score - got.base_score).sum() / got.n_tokens.sum() > 0.4  # four kinds of texts: at most log10(4) = 0.6
 
 
 def test_quality_rules(docs, empty):
