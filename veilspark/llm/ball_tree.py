@@ -117,13 +117,14 @@ class Best:
         self.k, self.found, self.floor = k, [], -math.inf
 
     def offer(self, ids: np.ndarray, scores: np.ndarray, own: int) -> None:
-        keep = np.flatnonzero(ids != own)
-        if len(keep) > self.k and scores.dtype != object:  # those below the kth of the batch can't be among the best
-            least = np.partition(scores[keep], len(keep) - self.k)[len(keep) - self.k]
-            keep = keep[scores[keep] >= least]
+        keep = ids != own
+        if scores.dtype == object or self.floor >= _LONG:
+            keep &= np.array([s >= self.floor for s in scores.tolist()], bool)
+        elif self.floor > -_LONG:
+            keep &= scores >= self.floor
+        keep = np.flatnonzero(keep)
         if len(keep):
-            new = [(-int(s), int(i)) for s, i in zip(scores[keep], ids[keep]) if s >= self.floor]
-            self.found = sorted(self.found + new)[: self.k]
+            self.found = sorted(self.found + list(zip((-scores[keep]).tolist(), ids[keep].tolist())))[: self.k]
             if len(self.found) == self.k:
                 self.floor = -self.found[-1][0]
 
@@ -142,8 +143,8 @@ def search(shard: dict, queries: np.ndarray, names: list[int], best: list[Best],
     """Takes the queries `rows` through one shard, each node by its bound."""
     dim = queries.shape[1]
     ids, points, centers, radii, nodes = np.frombuffer(shard["ids"], np.int64), np.frombuffer(shard["points"]).reshape(-1, dim), np.frombuffer(shard["centers"]).reshape(-1, dim), np.frombuffer(shard["radii"]), np.frombuffer(shard["nodes"], np.int64).reshape(-1, 3)
-    # by node, so that one huge vector doesn't slow down all others
     top = np.abs(points).max(1)
+    most = float(top.max())
     bound = _bounds(queries[rows], centers, radii).tolist()  # Python compares its floats with any integer
     for i, q in enumerate(rows):
         mine, heap, size = best[q], [(-bound[i][0], 0)], float(np.abs(queries[q]).max()) * dim
@@ -153,7 +154,8 @@ def search(shard: dict, queries: np.ndarray, names: list[int], best: list[Best],
                 break
             start, end, left = nodes[k]
             if left < 0:
-                mine.offer(ids[start:end], inner_products(points[start:end], queries[q], float(top[start:end].max()) * size), names[q])
+                largest = most if most * size < 2**53 else float(top[start:end].max())  # one huge vector doesn't slow down all nodes
+                mine.offer(ids[start:end], inner_products(points[start:end], queries[q], largest * size), names[q])
             else:
                 for child in (left, left + 1):
                     if bound[i][child] >= mine.floor:
