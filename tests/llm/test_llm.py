@@ -5,6 +5,7 @@ import random
 import time
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.llm import ball_tree, classifier, line_dedup, log_bilinear, mixing, near_dedup, packing, quality_rules, textkit, token_files, transducer
+from veilspark.llm import ball_tree, classifier, common, line_dedup, log_bilinear, mixing, near_dedup, packing, quality_rules, textkit, token_files, transducer
 from veilspark.llm.bpe import tokenizer
 from veilspark.llm.common import new_path
 
@@ -290,35 +291,104 @@ def test_classifier(spark, docs, empty):
     assert classifier.classify(empty, labels).count() == 0
 
 
-def test_near_duplicates(spark, docs, empty):
-    rng, rows = random.Random(3), []
-    for g in range(12):
-        base = [rng.choice(WORDS) + str(rng.randint(0, 999)) for _ in range(rng.choice([4, 60, 200]))]
-        for _ in range(rng.choice([1, 3, 30])):
-            copy = [f"e{rng.random()}" if rng.random() < rng.choice([0, 0.01, 0.03, 0.06]) else w for w in base]
-            rows.append((len(rows), " ".join(copy)))
-    rows += [(len(rows) + k, t) for k, t in enumerate([None, "", "a b", "A  B", "a", "a"])] + [(None, "a")]
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+def _brute_components(rows, width=3, percent=85):
+    """The smallest doc_id reachable, for each doc_id; and the number of links between different sets."""
     sets = {}
     for d, t in rows:
         w = (t or "").lower().split()
-        sets[d] = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
-    root = {d: d for d, _ in rows if d is not None}
+        if d is not None:
+            sets.setdefault(d, set()).add(frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset())
+    root, links = {d: d for d in sets}, 0
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in root:
-        for b in root:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            near = [100 * len(x & y) >= percent * len(x | y) and bool(x) for x in sets[a] for y in sets[b]]
+            if any(near):
+                links += 1
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    for r in got.itertuples():
-        if r.doc_id == r.doc_id:
-            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id)
-    assert near_dedup.near_duplicates(empty).count() == 0 and near_dedup.keep_one(docs).columns == docs.columns
+    return {d: find(d) for d in ids}, links
+
+
+def _families(rng):
+    rows = []
+    for g in range(12):
+        base = [rng.choice(WORDS) + str(rng.randint(0, 999)) for _ in range(rng.choice([4, 60, 200]))]
+        for _ in range(rng.choice([1, 3, 30])):
+            copy = [f"e{rng.random()}" if rng.random() < rng.choice([0, 0.01, 0.03, 0.06]) else w for w in base]
+            rows.append((len(rows), " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("most_ids", [1 << 20, 0])
+def test_near_duplicates(spark, docs, empty, monkeypatch, most_ids):
+    monkeypatch.setattr(near_dedup, "MOST_IDS", most_ids)  # 0: as for tables beyond what is broadcast
+    monkeypatch.setattr(near_dedup, "MOST_HOT", 8)
+    rows = _families(random.Random(3))
+    n = len(rows)
+    rows += [(n + k, t) for k, t in enumerate([None, "", "a b", "A  B", "a", "a"])] + [(None, "a"), (None, None)]
+    rows += [(0, rows[0][1]), (1, "two texts " + rows[n - 1][1]), (1, rows[n // 2][1]), (n + 20, rows[n // 2][1]), (n + 20, rows[3][1] + " more")]
+    df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, component int, f1 string")
+    want, _ = _brute_components(rows)
+    got = near_dedup.near_duplicates(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.component_id == want.get(r.doc_id) and r.kept == (r.doc_id is None or want[r.doc_id] == r.doc_id)
+    sizes = Counter((d, len({tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))}) if w else 0) for d, t in rows for w in [(t or "").lower().split()])
+    assert Counter((r.doc_id, r.n_shingles) for r in got) == sizes
+    assert near_dedup.near_duplicates(empty).count() == 0
+
+
+def test_keep_one(spark, docs, empty):
+    rows = _families(random.Random(8))
+    rows += [(len(rows) + k, t) for k, t in enumerate([None, "", "a"])] + [(None, rows[0][1]), (0, rows[0][1])]
+    df = spark.createDataFrame([(1.5, d, t, "y") for d, t in rows], "`a.b` double, doc_id long, text string, _gone string")
+    want, links = _brute_components(rows, 5, 80)
+    got = near_dedup.keep_one(df)
+    assert links > 50 and got.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter((d, t) for d, t in rows if d is None or want[d] == d)
+    assert near_dedup.keep_one(docs).columns == docs.columns and near_dedup.keep_one(empty).count() == 0
+
+
+@pytest.mark.parametrize("size", [6, 12])
+def test_near_duplicates_of_groups_around_one_text(spark, size):
+    rng, base, rows = random.Random(size), [f"b{k}" for k in range(400)], []
+    firsts = []
+    for g in range(30):
+        own = list(base)
+        for k in rng.sample(range(400), 6):
+            own[k] = f"g{g}x{k}"
+        firsts.append(own)
+        for m in range(size):
+            rows.append((len(rows), " ".join([f"m{len(rows)}" if m and k == 7 * m else w for k, w in enumerate(own)])))
+    bridge = list(firsts[0])
+    for k in [k for k in range(400) if bridge[k] != base[k]][:5]:
+        bridge[k] = base[k]
+    rows.append((len(rows), " ".join(bridge)))
+    want, links = _brute_components(rows)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert links > 300 and got == want
+
+
+def test_regions_on_borders_of_tasks(spark):
+    # every region is cut: more tasks than regions, by a very small range each
+    rng, rows = random.Random(11), []
+    for g in range(5):
+        base = [f"w{g}x{k}" for k in range(80)]
+        rows += [(len(rows) + m, " ".join([*base[: 70 - m], f"z{g}x{m}", *base[71 - m :]])) for m in range(6)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    try:
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == _brute_components(rows)[0]
 
 
 def test_near_duplicates_of_large_groups_with_one_link(spark):
@@ -372,6 +442,17 @@ def test_top_k_of_large_components_is_exact(spark, size):
     assert _top_k(df) == _brute_top_k(rows, 6)
 
 
+def test_shared_dir_is_the_clusters():
+    conf = {"spark.checkpoint.dir": "hdfs://x/y/"}
+    fake = lambda master, conf: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)), sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}", getConf=lambda: SimpleNamespace(get=lambda k: None)))
+    assert common.shared_dir(fake("spark://host:7077", conf)) == "hdfs://x/y"
+    one = fake("local[4]", {})
+    assert common.shared_dir(one) == common.shared_dir(one) and common.shared_dir(one).startswith("file://")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            common.shared_dir(fake(master, {}))
+
+
 def test_hash_index():
     keys = textkit.mix(np.arange(5000, dtype=np.uint64))
     index = textkit.HashIndex(4)

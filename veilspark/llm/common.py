@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch: executors hold one for each task, their Python workers some copies of its parts.
 BATCH_BYTES = "8m"
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _made: list[tuple[SparkSession, str]] = []
+_temporary: dict[str, str] = {}
 _Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
@@ -41,12 +44,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where it is unset (one machine, tests) a temporary folder."""
+    """The cluster's spark.checkpoint.dir. Where it is unset, one machine (tests) takes a temporary folder; a cluster has no
+    folder that all its machines see, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="veilspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        app = spark.sparkContext.applicationId
+        if app not in _temporary:
+            _temporary[app] = "file://" + tempfile.mkdtemp(prefix="veilspark-")
+        found = _temporary[app]
     return found.rstrip("/")
 
 
@@ -70,8 +83,8 @@ def _clean() -> None:
             if sc._jsc is not None:
                 at = sc._jvm.org.apache.hadoop.fs.Path(path)
                 at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the session has ended before
-            return
+        except Exception:  # noqa: BLE001  this session has ended before; another may not have
+            continue
 
 
 atexit.register(_clean)

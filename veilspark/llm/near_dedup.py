@@ -8,11 +8,14 @@ candidates of each other; a larger region gives each node its next neighbours an
 best with the region's most frequent values) as candidates, and splits at the next depth. A sketch that travels along drops
 candidates far below the threshold. What is left is confirmed on full sets. Candidates are confirmed in two steps, the best
 of each node first, the rest only where both ends are still apart. Then every pair of different groups that share a crowded
-region is looked at, block by block: on sketches in the region, and what passes there on full sets. Links become components
-by repeated contraction.
+region is looked at, block by block: on sketches in the region, and what passes there on full sets. A region that a border between
+tasks may cut is taken as crowded. Links become components by repeated contraction; later links join components, not
+documents.
 
 Defined results: without words or text a document is alone; equal sets are one group; a null doc_id takes no part (its
-component is null, it is kept); repeated doc_ids are one node with the set of any of them; an empty table gives no rows.
+component is null, it is kept); rows of one doc_id with different texts are one document with several sets, linked with
+whatever one of them is linked with (n_shingles is the row's own); repeated rows get the same result each; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import read, tidy, written
+from .common import own_columns, read, tidy, written
 
 TREES, DEPTH, LEAST, SMALL, NEXT = 16, 8, 3, 8, 2
 SKETCH = 64
@@ -33,8 +36,10 @@ SKETCH = 64
 LONE_BLOCK, BLOCK = 1 << 16, 1 << 18
 #: Rows in a block of a crowded region: asking rows, and rows that answer.
 ASKING, ANSWERING = 1 << 10, 1 << 12
-#: Ids of documents that are broadcast (8 bytes each, counted before); more are joined by a shuffle.
+#: Rows of ids or labels that are broadcast (16 bytes each, counted before); more are joined by a shuffle.
 MOST_IDS = 1 << 20
+#: The most keys that count as hot: those with at least 1 / MOST_HOT of the rows. Their rows meet a broadcast.
+MOST_HOT = 1 << 14
 _A = K.mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
 _NODES = "doc_id long, n_shingles int, f1 long, f2 long, sig binary"
 
@@ -142,21 +147,36 @@ def forest(nodes: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(TREES, dtype=np.int32), len(part))), fixed(keys), pa.concat_arrays([part.column(0)] * TREES), pa.concat_arrays([part.column(1)] * TREES), fixed(sketch)], schema=table)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, border = None, None
+
+        def at_border(rows: pa.Table, of: tuple) -> np.ndarray:
+            return np.array([(t, k[: 2 * LEAST]) == of for t, k in zip(rows["tree"].to_pylist(), rows["key"].to_pylist())], bool)
+
+        def names(x, y, agree, alone) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.minimum(x, y), alone])), pa.array([*np.maximum(x, y).tolist(), *[None] * len(alone)], pa.int64()), pa.array(np.concatenate([agree, np.zeros(len(alone), int)]).astype(np.int32))], names=["a", "b", "agree"])
+
+        none = np.zeros(0, np.int64)
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             if held is not None:
                 rows = pa.concat_tables([held, rows])
+            if not len(rows):
+                continue
             held = rows.slice(max(0, len(rows) - SMALL)).combine_chunks()
             rows = rows.combine_chunks()
+            border = border or (rows["tree"][0].as_py(), rows["key"][0].as_py()[: 2 * LEAST])
+            head = rows.slice(0, 2 * SMALL)  # more are crowded anyway
+            yield names(none, none, none, head["doc_id"].to_numpy()[at_border(head, border)])
             key = np.frombuffer(b"".join(rows["key"].to_pylist()), ">u2").reshape(-1, DEPTH)
             sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
             ids, n, tree = rows["doc_id"].to_numpy(), rows["n"].to_numpy().astype(np.int64), rows["tree"].to_numpy()
             cut = np.flatnonzero(np.diff(tree)) + 1
             for a, b in zip([0, *cut], [*cut, len(ids)]):
                 i, j, agree, crowded = region_pairs(key[a:b], sketch[a:b], n[a:b], percent)
-                x, y, alone = ids[a:b][i], ids[a:b][j], ids[a:b][crowded]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.minimum(x, y), alone])), pa.array([*np.maximum(x, y).tolist(), *[None] * len(alone)], pa.int64()), pa.array(np.concatenate([agree, np.zeros(len(alone), int)]).astype(np.int32))], names=["a", "b", "agree"])
+                yield names(ids[a:b][i], ids[a:b][j], agree, ids[a:b][crowded])
+        if held is not None:
+            last = held.slice(len(held) - 1)
+            yield names(none, none, none, held["doc_id"].to_numpy()[at_border(held, (last["tree"][0].as_py(), last["key"][0].as_py()[: 2 * LEAST]))])
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     orders = nodes.select("doc_id", "n_shingles", "sig").mapInArrow(tidy(grow), "tree int, key binary, doc_id long, n int, sketch binary")
@@ -165,7 +185,7 @@ def forest(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """The sorted shingles of the documents named by ids.doc_id, as bytes."""
+    """The sorted shingles of the documents named by ids.doc_id, as bytes; several rows where their texts differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,11 +196,12 @@ def sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     ids = written(ids.distinct(), "ids")
     if ids.count() <= MOST_IDS:
         ids = F.broadcast(ids)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(tidy(run), "doc_id long, set binary")
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi")
+    return own.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h").mapInArrow(tidy(run), "doc_id long, set binary")
 
 
 def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """pairs: nodes a, b in the groups x, y. The different (x, y) of which a pair has full sets that are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,38 +210,76 @@ def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 x, y = (x, y) if len(x) <= len(y) else (y, x)
                 both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                keep.append(len(x) > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    one = pairs.select("a", "b", "x", "y").join(full.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
+    return one.join(full.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b").select("x", "y", "sa", "sb").mapInArrow(tidy(run), "x long, y long").distinct()
+
 
-    one = pairs.select("a", "b").join(full.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
-    return one.join(full.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
+def _found(left: DataFrame, right: DataFrame, key: list[str], n: int, how: str = "left") -> DataFrame:
+    """left with the columns of its row in right, which has each key once; both have at most n rows. Where one key may hold a
+    large share of left, its rows meet a broadcast of at most MOST_HOT rows, and only the others are shuffled."""
+    if n <= MOST_IDS:
+        return left.join(F.broadcast(right), key, how)
+    hot = left.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= max(2, n // MOST_HOT)).drop("_n").dropna()
+    hot = written(right.join(F.broadcast(hot), key, "left_semi").withColumn("_hot", F.lit(True)), "hot")
+    marked = left.join(F.broadcast(hot), key, "left")
+    of = [c for c in right.columns if c not in key]
+    warm = marked.where("_hot").drop("_hot")
+    cold = marked.where("_hot IS NULL").drop("_hot", *of)
+    lost = cold.where(" OR ".join(f"{k} IS NULL" for k in key)).select("*", *(F.lit(None).cast(right.schema[c].dataType).alias(c) for c in of))
+    rest = cold.dropna(subset=key).join(right, key, how).unionByName(warm)
+    return rest.unionByName(lost) if how == "left" else rest
 
 
 def components(links: DataFrame) -> DataFrame:
-    """doc_id, component (its smallest member) of every node with a link. In each round nodes take the smallest label around,
-    then the label of that label, and links between equal labels vanish: what is left shrinks at least by half."""
-    edges = written(links.select("a", "b").where("a <> b").distinct(), "links")
+    """links: x, y. doc_id, component (its smallest member) of every node with a link. In each round nodes take the smallest
+    label around, then the label of that label, and links between equal labels vanish: what is left shrinks at least by half."""
+    edges = written(links.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct(), "links")
     labels = None
-    while not edges.isEmpty():
-        near = edges.union(edges.select("b", "a")).groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l"))
-        near = written(near, "near")
+    while n := edges.count():
+        near = written(edges.union(edges.select("b", "a")).groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")), "near")
         up = near.select(F.col("a").alias("l"), F.col("l").alias("up"))
-        hop = written(near.join(up, "l").select("a", F.col("up").alias("l")), "hop")
+        hop = written(_found(near, up, ["l"], 2 * n, "inner").select("a", F.col("up").alias("l")), "hop")
         if labels is None:
             labels = hop.select(F.col("a").alias("doc_id"), F.col("l").alias("component"))
         else:
-            labels = labels.join(hop.select(F.col("a").alias("component"), "l"), "component", "left").select("doc_id", F.coalesce("l", "component").alias("component"))
-        labels = written(labels, "labels")
-        low = edges.join(hop, "a").select(F.col("l").alias("x"), "b").join(hop.select(F.col("a").alias("b"), "l"), "b")
+            labels = moved(labels, hop.select(F.col("a").alias("doc_id"), F.col("l").alias("component")))
+        low = _found(edges, hop, ["a"], 2 * n, "inner").select(F.col("l").alias("x"), "b")
+        low = _found(low, hop.select(F.col("a").alias("b"), "l"), ["b"], 2 * n, "inner")
         edges = written(low.where("x <> l").select(F.least("x", "l").alias("a"), F.greatest("x", "l").alias("b")).distinct(), "links")
-    return labels if labels is not None else links.select(F.col("a").alias("doc_id"), F.col("a").alias("component"))
+    return labels if labels is not None else links.select(F.col("x").alias("doc_id"), F.col("x").alias("component")).limit(0)
+
+
+def moved(groups: DataFrame, up: DataFrame) -> DataFrame:
+    """groups (doc_id, component) after links between components: up says where a component (as its doc_id) now belongs."""
+    to = up.select(F.col("doc_id").alias("component"), F.col("component").alias("_to"))
+    return written(_found(groups, to, ["component"], max(groups.count(), up.count())).select("doc_id", F.coalesce("_to", "component").alias("component")), "labels")
+
+
+def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups after links (x, y) between components; nodes without a row in groups are components of their own."""
+    links = written(links, "joined")
+    if links.isEmpty():
+        return groups
+    up = components(links)
+    return moved(groups, up).unionByName(up.join(groups, "doc_id", "left_anti"))
 
 
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs whose ends aren't in one group yet."""
-    for end in ("a", "b"):
-        pairs = pairs.join(groups.select(F.col("doc_id").alias(end), F.col("component").alias(f"_{end}")), end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
-    return pairs.where("_a <> _b").drop("_a", "_b")
+    """Pairs whose ends aren't in one group yet, and these groups: x, y."""
+    for end, group in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(groups.select(F.col("doc_id").alias(end), F.col("component").alias(group)), end, "left").withColumn(group, F.coalesce(group, end))
+    return pairs.where("x <> y")
+
+
+def _several_texts(own: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links x, y between the nodes that hold the texts of one doc_id."""
+    f = F.struct("f1", "f2", "n_shingles")
+    odd = own.groupBy("doc_id").agg(F.min(f).alias("lo"), F.max(f).alias("hi")).where("lo <> hi").select("doc_id")
+    of = own.join(odd, "doc_id", "left_semi").select("f1", "f2", "n_shingles", F.col("doc_id").alias("x")).distinct()
+    return of.join(nodes, ["f1", "f2", "n_shingles"]).select("x", F.col("doc_id").alias("y")).where("x <> y")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
@@ -230,18 +289,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     nodes = own.groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("f1", "f2", "n_shingles", "m.doc_id", "m.sig")
     nodes = written(nodes, "nodes")
     found = written(forest(nodes, percent), "candidates")
-    pairs = found.where("b IS NOT NULL")
+    pairs = found.where("b IS NOT NULL AND a <> b")
     full = written(sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), width), "sets")
     best = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), "agree", "a", "b").groupBy("doc_id").agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    links = written(confirmed(best, full, percent), "best")
-    groups = components(links)
-    rest = written(confirmed(_apart(pairs, groups), full, percent), "rest")
-    links = links.union(rest)
-    groups = components(links) if not rest.isEmpty() else groups
-    again = written(the_rest(docs, nodes, found, groups, width, percent), "again")
-    groups = components(links.union(again)) if not again.isEmpty() else groups
-    of_node = nodes.join(groups, "doc_id", "left").select("f1", "f2", F.coalesce("component", "doc_id").alias("component"))
-    placed = rows.select("doc_id", "n_shingles", "f1", "f2").join(of_node, ["f1", "f2"], "left")
+    groups = components(confirmed(best.withColumns({"x": F.col("a"), "y": F.col("b")}), full, percent).unionByName(_several_texts(own, nodes)))
+    groups = joined(groups, confirmed(_apart(pairs, groups), full, percent))
+    groups = joined(groups, the_rest(docs, nodes, found, groups, width, percent))
+    of_node = nodes.join(groups, "doc_id", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    placed = _found(rows.select("doc_id", "n_shingles", "f1", "f2"), written(of_node, "components"), ["f1", "f2", "n_shingles"], rows.count())
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return placed.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -300,7 +355,7 @@ def doubtful(nodes: DataFrame, found: DataFrame, groups: DataFrame, percent: int
     rows = nodes.join(crowded, "doc_id", "left_semi").join(groups, "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
     rows = written(crowded_regions(rows), "regions")
     parts = rows.groupBy("r", "c").agg(F.count(F.lit(1)).alias("v")).groupBy("r").agg(F.sum("v").alias("all"), F.max(F.struct("v", "c")).alias("top"))
-    parts = parts.where((F.col("all") > SMALL) & (F.col("all") > F.col("top.v")))
+    parts = parts.where(F.col("all") > F.col("top.v"))
     parts = parts.select("r", F.col("top.c").alias("top"), F.ceil((F.col("all") - F.col("top.v")) / ASKING).alias("nl"), F.ceil(F.col("all") / ANSWERING).alias("nm"))
     own = F.xxhash64("doc_id")
     all_of = rows.join(parts, "r")
@@ -338,11 +393,11 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
 
 
 def the_rest(docs: DataFrame, nodes: DataFrame, found: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between groups that share a crowded region. There the next neighbours and the hubs may not be the ones a node is
+    """Links x, y between groups that share a crowded region. There the next neighbours and the hubs may not be the ones a node is
     linked with, so all doubtful nodes are held against those of other groups that such pairs connect them to: all but the
     largest group ask. Both sides are cut into blocks of bounded size, and only links leave a task."""
     near = written(doubtful(nodes, found, groups, percent), "doubtful")
-    around = components(near.select(F.col("c").alias("a"), F.col("l").alias("b"))).select(F.col("doc_id").alias("c"), F.col("component").alias("k"))
+    around = components(near.select(F.col("c").alias("x"), F.col("l").alias("y"))).select(F.col("doc_id").alias("c"), F.col("component").alias("k"))
     placed = near.select("doc_id", "c").distinct().join(around, "c").join(nodes.select("doc_id", "n_shingles"), "doc_id")
     placed = written(placed.select("k", "doc_id", "c", "n_shingles"), "crowded")
     full = written(sets(docs, placed.select("doc_id"), width), "sets")
@@ -352,10 +407,10 @@ def the_rest(docs: DataFrame, nodes: DataFrame, found: DataFrame, groups: DataFr
     all_of = placed.join(parts, "k").withColumn("lone", F.col("c") != F.col("top"))
     lone = all_of.where("lone").withColumns({"x": F.pmod(own, F.col("nl")), "y": F.explode(F.sequence(F.lit(0).cast("long"), F.col("nm") - 1))})
     member = all_of.withColumns({"y": F.pmod(own, F.col("nm")), "x": F.explode(F.sequence(F.lit(0).cast("long"), F.col("nl") - 1))}).withColumn("lone", F.lit(False))
-    rows = lone.unionByName(member).join(full, "doc_id").select("k", "x", "y", "doc_id", "c", "lone", "set")
+    rows = lone.unionByName(member).join(full, "doc_id").select("k", "x", "y", "c", "lone", "set")
 
     def block(table: pa.Table) -> pa.Table:
-        ids, group, is_lone = table["doc_id"].to_numpy(), table["c"].to_numpy(), table["lone"].to_numpy()
+        group, is_lone = table["c"].to_numpy(), table["lone"].to_numpy()
         each = [np.frombuffer(v.as_buffer(), np.uint64) for v in table["set"]]
         others = np.flatnonzero(~is_lone)
         size = np.array([len(each[k]) for k in others], np.int64)
@@ -369,17 +424,18 @@ def the_rest(docs: DataFrame, nodes: DataFrame, found: DataFrame, groups: DataFr
             both = np.bincount(owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(others))
             near = np.flatnonzero((100 * both >= percent * (len(each[k]) + size - both)) & (group[others] != group[k]))
             _, one = np.unique(group[others[near]], return_index=True)  # one link to each group does
-            a += [int(ids[k])] * len(one)
-            b += ids[others[near[one]]].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            a += [int(group[k])] * len(one)
+            b += group[others[near[one]]].tolist()
+        return pa.table({"x": pa.array(a, pa.int64()), "y": pa.array(b, pa.int64())}).group_by(["x", "y"]).aggregate([])
 
-    return rows.groupBy("k", "x", "y").applyInArrow(block, "a long, b long")
+    return rows.groupBy("k", "x", "y").applyInArrow(block, "x long, y long").distinct()
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those that have a near duplicate of a smaller doc_id in their component."""
-    gone = written(near_duplicates(docs, width, percent).where("NOT kept").select("doc_id"), "duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs without those that have a near duplicate of a smaller doc_id in their component: of each component all rows of the
+    smallest doc_id stay, so rows that repeat it stay with it. Rows without a doc_id, text or words stay."""
+    gone = written(near_duplicates(docs, width, percent).where("NOT kept").select("doc_id").distinct(), "duplicates")
+    return docs.join(gone, "doc_id", "left_anti").select(*own_columns(docs))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
