@@ -6,6 +6,10 @@ are made before the shuffle, so a line that stands in a third of all documents i
 estimate lies within NEAR of the threshold get an exact distinct count. A line over the threshold stays where it stands
 first (smallest doc_id, then text hash and place) and is removed everywhere else.
 
+The text is read three times: to count lines, to write the places of those that are frequent enough, and for the result.
+Joins by line: up to MOST_LINES lines are broadcast; of more, those that hold at least 1 / MOST_HOT of all places are, and
+only the others are shuffled, so that a line in a third of all documents doesn't land in one task.
+
 Defined results: null and empty texts have no lines; a null site counts as a site of its own; rows that repeat doc_id and
 text are treated alike; a null doc_id comes after all others; an empty table gives no rows. All other columns are kept
 (_n_lines and _n_removed are the operator's own).
@@ -16,12 +20,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import own_columns, read, written
 
 SITES = 5
 LG_K = 12
 #: Estimates from threshold / NEAR to threshold * NEAR are checked exactly.
 NEAR = 1.5
+#: Lines that are broadcast (20 bytes each, counted before), and the most lines that count as hot.
+MOST_LINES, MOST_HOT = 1 << 20, 1 << 14
+#: Positions of removed lines are looked up in buckets of 2^BUCKET_BITS places.
+BUCKET_BITS = 8
 _BLANKS = " \t\x0b\x0c\r"
 
 
@@ -32,33 +40,48 @@ def lines(docs: DataFrame, site: str) -> DataFrame:
     return rows.select("_id", "_th", "site", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
 
 
-def spread_lines(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
-    """The lines on at least `sites` sites: h1, h2, n_sites (estimated, or exact near the threshold), first (id, text hash, place)."""
+def _on_lines(rows: DataFrame, table: DataFrame, n: int, places: int) -> DataFrame:
+    """rows (places in all) with their line of table, which has n lines, each once, and n_places, how often each occurs."""
+    if n <= MOST_LINES:
+        return rows.join(F.broadcast(table), ["h1", "h2"])
+    hot = F.col("n_places") >= max(2, places // MOST_HOT)
+    cold = rows.join(F.broadcast(table.where(hot).select("h1", "h2")), ["h1", "h2"], "left_anti")
+    return rows.join(F.broadcast(table.where(hot)), ["h1", "h2"]).unionByName(cold.join(table.where(~hot), ["h1", "h2"]))
+
+
+def spread_lines(docs: DataFrame, site: str = "source", sites: int = SITES) -> tuple[DataFrame, DataFrame]:
+    """The lines on at least `sites` sites: h1, h2, n_sites (estimated, or exact near the threshold), first (id, text hash,
+    place); and the places (_id, _th, pos, h1, h2) at which they stand."""
     rows = lines(docs, site)
-    often = written(rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sites).select("h1", "h2"), "often")
-    theirs = rows.join(often, ["h1", "h2"])
+    often = written(rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_places")).where(F.col("n_places") >= sites), "often")
+    n, places = often.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_places"), F.lit(0))).first()
+    theirs = written(_on_lines(rows, often, n, places), "places")
     first = F.min(F.struct(F.coalesce("_id", F.lit(2**63 - 1)).alias("id"), "_th", "pos")).alias("first")
-    found = written(theirs.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("n_sites"), first), "spread")
-    near = found.where(F.col("n_sites").between(sites / NEAR, sites * NEAR))
-    exact = theirs.join(near.select("h1", "h2"), ["h1", "h2"]).select("h1", "h2", "site").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_exact"))
-    return written(found.join(exact, ["h1", "h2"], "left").withColumn("n_sites", F.coalesce("_exact", "n_sites")).where(F.col("n_sites") >= sites).drop("_exact"), "boilerplate")
+    found = theirs.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("n_sites"), first, F.max("n_places").alias("n_places"))
+    found = written(found, "spread")
+    near = found.where(F.col("n_sites").between(sites / NEAR, sites * NEAR)).select("h1", "h2", "n_places")
+    exact = _on_lines(theirs.drop("n_places"), near, n, places).select("h1", "h2", "site").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_exact"))
+    spread = written(found.join(exact, ["h1", "h2"], "left").withColumn("n_sites", F.coalesce("_exact", "n_sites")).where(F.col("n_sites") >= sites).drop("_exact"), "boilerplate")
+    return spread, _on_lines(theirs.drop("n_places"), spread, n, places)
 
 
 def remove_spread_lines(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
     """docs with the text that is left, and _n_lines, _n_removed (lines with a word, before and removed)."""
-    spread = spread_lines(docs, site, sites)
-    at = lines(docs, site).join(spread, ["h1", "h2"])
+    _, at = spread_lines(docs, site, sites)
     here = (F.coalesce(F.col("_id"), F.lit(2**63 - 1)) == F.col("first.id")) & (F.col("_th") == F.col("first._th")) & (F.col("pos") == F.col("first.pos"))
-    drops = at.where(~here).groupBy("_id", "_th").agg(F.collect_set("pos").alias("_drop"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    drops = at.where(~here).groupBy("_id", "_th").agg(F.collect_set("pos").alias("_all"))
+    # below the join, so that the buckets are made once for each text and not for each line
+    buckets = F.transform(F.sequence(F.lit(0), F.shiftright(F.array_max("_all"), BUCKET_BITS)), lambda b: F.filter("_all", lambda p: F.shiftright(p, BUCKET_BITS) == b))
+    drops = drops.select("_id", "_th", F.size("_all").cast("long").alias("_n"), buckets.alias("_drop"))
+    rows = docs.select(F.struct(*own_columns(docs)).alias("row"))
     out = rows.join(drops, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("row.text") == F.col("_th")), "left")
     text = F.col("row.text")
     parts = F.split(text, "\n", -1)
-    left = F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(F.filter(F.transform(parts, lambda x, i: F.when(~F.array_contains("_drop", i), x)), lambda x: x.isNotNull()), "\n"))
+    gone = lambda i: F.coalesce(F.array_contains(F.get("_drop", F.shiftright(i, BUCKET_BITS)), i), F.lit(False))
+    left = F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(F.filter(F.transform(parts, lambda x, i: F.when(~gone(i), x)), lambda x: x.isNotNull()), "\n"))
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.filter(parts, lambda x: F.btrim(x, F.lit(_BLANKS)) != ""))).cast("long")
-    removed = F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long")
-    kept = [left.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("_n_lines", "_n_removed")]
-    return out.select(*kept, n_lines.alias("_n_lines"), removed.alias("_n_removed"))
+    kept = [left.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("_n_lines", "_n_removed")]
+    return out.select(*kept, n_lines.alias("_n_lines"), F.coalesce("_n", F.lit(0)).cast("long").alias("_n_removed"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
