@@ -5,7 +5,8 @@ frame with the index of documents, then a skippable frame: for each frame its co
 its content, 32 bits each, and a footer with the number of frames. A plain zstandard decoder reads the file too. A reader
 takes the footer, the index, and only the frames that hold the documents it wants.
 
-Documents are dealt by ranges of doc_id, so each file is sorted and the files follow each other. A task writes under a name
+Documents are dealt by ranges of doc_id, a file for about FILE_BYTES of text, so each file is sorted and the files follow
+each other. A task writes under a name
 of its own; the written manifest says which files count, so a task that runs again does no harm.
 
 Defined results: null texts are empty (the end id alone); null ids come first; repeated ids keep an order by text hash; an
@@ -26,9 +27,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer
-from .common import new_path, read, written
+from .common import new_path, read, tidy, written
 
 FRAME_BYTES = 1 << 17
+#: Bytes of text (and DOC_BYTES for each document) in a file: what a writer keeps of its documents is bounded by this, not by the table.
+FILE_BYTES, DOC_BYTES = 1 << 26, 64
+#: Documents in a batch of those read back.
+READ_ROWS = 1 << 13
 _SKIP, _MAGIC = 0x184D2A5E, 0x8F92EAB1
 
 
@@ -154,9 +159,10 @@ def write_files(docs: DataFrame, path: str, folder: str, end_id: int) -> DataFra
             sink.close()
             yield pa.RecordBatch.from_pylist([{"file": f"{folder}/{name}", "part": TaskContext.get().partitionId(), "docs": len(out.names), "tokens": tokens}])
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + DOC_BYTES)).first()[0]
+    n = max(1, -(-(size or 0) // FILE_BYTES))
     dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return written(dealt.mapInArrow(write, "file string, part long, docs long, tokens long"), "manifest")
+    return written(dealt.mapInArrow(tidy(write), "file string, part long, docs long, tokens long"), "manifest")
 
 
 def read_files(manifest: DataFrame) -> DataFrame:
@@ -165,19 +171,25 @@ def read_files(manifest: DataFrame) -> DataFrame:
     placed = manifest.withColumn("base", F.sum("tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)))
     files = placed.select("file", F.coalesce("base", F.lit(0)).alias("base")).repartition(max(1, manifest.count()), "file")
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():
                 store, name = _open(x["file"])
                 with store.open_input_file(name) as source:
-                    at, rows = x["base"], ([], [], [], [])
+                    at, rows = x["base"], []
                     for doc_id, ids in Reader(source):
-                        for to, value in zip(rows, (doc_id, at, len(ids), zlib.crc32(ids.tobytes()))):
-                            to.append(value)
+                        rows.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
                         at += len(ids)
-                    yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                        if len(rows) == READ_ROWS:
+                            yield batch_of(rows)
+                            rows = []
+                    if rows:
+                        yield batch_of(rows)
 
-    return files.mapInArrow(scan, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(tidy(scan), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
