@@ -5,7 +5,7 @@ driver with numpy from at most FIT_ROWS labelled rows (chosen by a hash of the i
 full trees in arrays that travel with the task; scoring walks all rows of a batch through all trees at once.
 
 Defined results: null and empty texts have zero statistics and a score like any other; repeated rows are scored each; null
-labels and labels without a document are left out; without labels of both kinds the score is their mean, or 0.5 without
+labels and labels without a document are left out; an id with several labels is a row of the training for each; without labels of both kinds the score is their mean, or 0.5 without
 any; an empty table gives no rows. Labels, lang, source and doc_id are no inputs of a score.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import read, tidy, written
+from .common import own_columns, read, tidy
 from .quality_rules import STOP_WORDS
 
 #: The most labelled rows used for fitting.
@@ -150,49 +150,56 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(rows: DataFrame, labels: DataFrame, label: str, train: Column, most: int = FIT_ROWS) -> BoostedTrees:
-    """rows: doc_id and x (statistics as binary)."""
-    known = rows.where(train).join(labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("double").alias("y")), "doc_id").select("x", "y", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("_h"))
-    n = known.count()
-    got = known.where(F.col("_h") < (1 << 20) * min(1.0, most / max(n, 1))).limit(most + most // 10).select("x", "y").toArrow()
+def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int = FIT_ROWS) -> BoostedTrees:
+    """Trees from the labelled rows for which `train` (of doc_id) holds; of more than `most`, those with the smallest hashes.
+    Which rows these are is decided from ids alone, and only their texts are described."""
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    known = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").cast("long"), F.col(label).cast("double").alias("y"))
+    ids = docs.select(F.col("doc_id").cast("long"))
+    n = ids.where(train).join(known, "doc_id").count()
+    few = F.lit(True) if n <= most else h < int((1 << 20) * most / n * 1.2) + 64  # a few more than `most`, then cut exactly
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(train & few).join(known.where(few), "doc_id")
+    got = describe(rows, "y double").select(h.alias("_h"), "x", "y").orderBy("_h", "x", "y").limit(most).toArrow()
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, len(NAMES))
     return BoostedTrees().fit(x, got["y"].to_numpy())
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """doc_id and x: the statistics, as the bytes of float32."""
+def describe(docs: DataFrame, also: str) -> DataFrame:
+    """doc_id, the column `also` (name and type), and x: the statistics, as the bytes of float32."""
+    name = also.split(" ")[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = statistics(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", name, "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, x binary")
+    return docs.select("doc_id", "text", name).mapInArrow(tidy(run), f"doc_id long, {also}, x binary")
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    rows = written(describe(docs), "statistics")
-    model = fit(rows, labels, label, ~held_out(F.col("doc_id")))
+    model = fit(docs, labels, label, ~held_out(F.col("doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = model.score(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32).reshape(-1, len(NAMES)))
+            p = model.score(statistics(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "x").mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
+    rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id").cast("long")).alias("held_out"), F.col("text").cast("string"))
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that the classifier rejects; fitted on all labelled rows up to FIT_ROWS, one pass more over the texts."""
-    model = fit(describe(docs), labels, "quality", F.lit(True))
-    schema = docs.schema
+    """docs without those that the classifier rejects; fitted on all labelled rows up to FIT_ROWS. All columns stay as they are."""
+    model = fit(docs, labels, "quality", F.lit(True))
+    text = docs.columns.index("text")
+    plain = docs.select(*(c.alias(f"c{k}") for k, c in enumerate(own_columns(docs))))  # mapInArrow can't take names with dots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(model.score(statistics(batch.column("text"))) >= threshold))
+            yield batch.filter(pa.array(model.score(statistics(batch.column(text))) >= threshold))
 
-    return docs.mapInArrow(tidy(run), schema)
+    return plain.mapInArrow(tidy(run), plain.schema).toDF(*docs.columns)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
