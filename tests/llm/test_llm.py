@@ -268,16 +268,94 @@ def test_token_files(spark, docs, empty):
     assert token_files.read_files(token_files.write_files(empty, path, new_path(spark, "ids"), 2)).count() == 0
 
 
-def test_line_dedup(spark, docs, empty):
-    many = [(k, "\n".join([f" boiler {k % 2} ", f"own {k}", "", "rare" if k < 4 else f"r{k}"]), f"s{k % 7}") for k in range(60)] + [(None, "boiler 0\nlast", None), (99, None, "s1"), (98, "", "s2")]
-    df = spark.createDataFrame(many, "doc_id long, text string, source string")
-    got = {r.doc_id: r for r in line_dedup.remove_spread_lines(df).collect()}
-    assert got[0].text == " boiler 0 \nown 0\n\nrare" and got[2].text == "own 2\n\nrare" and got[None].text == "last"
-    assert (got[99].text, got[99]._n_lines, got[98].text) == (None, 0, "") and got[5]._n_removed == 1
+def _brute_lines(rows, sites=5):
+    """rows: doc_id, text, source. (text left, lines, removed) of each."""
+    blanks, big = " \t\x0b\x0c\r", 2**63 - 1
+    places, own = {}, {}
+    for d, t, s in rows:
+        for k, x in enumerate((t or "").split("\n")):
+            if t is not None and x.strip(blanks):
+                own.setdefault(x.strip(blanks), set()).add(s)
+                places.setdefault(x.strip(blanks), set()).add((big if d is None else d, t, k))
+    first = {x: min(p[0] for p in places[x]) for x, v in own.items() if len(v) >= sites}
+    out = []
+    for d, t, _ in rows:
+        lines = [] if t is None else t.split("\n")
+        full = [x.strip(blanks) for x in lines]
+        # tests hold one text only where a line stands first, so the place there is the smallest
+        gone = {k for k, x in enumerate(full) if x in first and not ((big if d is None else d) == first[x] and (big if d is None else d, t, k) == min(p for p in places[x] if p[0] == first[x]))}
+        out.append((d, None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone), sum(map(bool, full)), len(gone)))
+    return out
+
+
+@pytest.mark.parametrize("most,bits", [(1 << 20, 8), (0, 2)])
+def test_line_dedup(spark, docs, empty, monkeypatch, most, bits):
+    monkeypatch.setattr(line_dedup, "MOST_LINES", most)  # 0: as for more lines than are broadcast
+    monkeypatch.setattr(line_dedup, "MOST_HOT", 4)
+    monkeypatch.setattr(line_dedup, "BUCKET_BITS", bits)
+    rows = [(k, "\n".join([f" boiler {k % 2} ", f"own {k}", "", "rare" if k < 4 else f"r{k}"]), f"s{k % 7}") for k in range(60)] + [(None, "boiler 0\nlast", None), (99, None, "s1"), (98, "", "s2"), (96, " \n\t", "s2")]
+    rows += [(200 + k, "\n".join(f"spread {j % 700}" for j in range(k, k + 900)), f"s{k % 9}") for k in range(12)]  # long texts, many removed lines
+    rows += [rows[7], rows[8], rows[8], rows[-1]] + [(300 + k, "near five", f"s{k % 5}") for k in range(40)] + [(400 + k, "near four", f"s{k % 4}") for k in range(40)]
+    df = spark.createDataFrame([(*r, "a", 1) for r in rows], "doc_id long, text string, source string, h1 string, `pos.x` int")
+    got = line_dedup.remove_spread_lines(df).collect()
+    assert Counter((r.doc_id, r.text, r._n_lines, r._n_removed) for r in got) == Counter(_brute_lines(rows))
+    assert {(r.h1, r["pos.x"]) for r in got} == {("a", 1)}
+    one = {r.doc_id: r for r in got}
+    assert one[0].text == " boiler 0 \nown 0\n\nrare" and one[2].text == "own 2\n\nrare" and one[None].text == "last" and one[211]._n_removed == 900
     assert line_dedup.remove_spread_lines(docs).columns == [*docs.columns, "_n_lines", "_n_removed"]
+    assert line_dedup.remove_spread_lines(df.withColumn("_n_lines", F.lit("x"))).columns == [*df.columns, "_n_lines", "_n_removed"]
     assert line_dedup.remove_spread_lines(empty).count() == 0
 
 
+def _describe(text):
+    """The statistics of one text, by plain loops."""
+    raw = (text or "").encode()
+    words, lines = raw.split(), [x for x in raw.split(b"\n") if x]
+    low = [w.lower() for w in words]
+    share = lambda chars: sum(c in chars for c in raw) / max(len(raw), 1)
+    n, stop = max(len(words), 1), {x.encode() for x in quality_rules.STOP_WORDS}
+    threes = [tuple(low[k : k + 3]) for k in range(len(low) - 2)] or [tuple(low)] * bool(low)
+    upper = lambda w: 65 <= w[0] <= 90 and 65 <= w[min(1, len(w) - 1)] <= 90
+    return [
+        math.log1p(len(raw)), math.log1p(len(words)), sum(map(len, words)) / n, math.log1p(max(map(len, words), default=0)),
+        share(range(65, 91)), share(range(48, 58)), share(b"#*$%&<>{}[]\\/=@^~_+"), share(b"|"), share(b"!?"), share(b".,;:"), share(range(128, 256)),
+        len(lines) / n, 1 - len(set(lines)) / max(len(lines), 1), len(set(low)) / n, sum(a == b for a, b in zip(low, low[1:])) / n,
+        1 - len(set(threes)) / max(len(threes), 1), sum(w in stop for w in low) / n, sum(map(upper, words)) / n,
+    ]
+
+
+def test_statistics_and_trees_against_plain_loops():
+    odd = TEXTS + ["A B aB ÀÉ\n\nx\nx", "| a | b |\n| a | b |", "the the THE of", "\n\n", "a\tb\x0bc"]
+    x = classifier.statistics(pa.array(odd))
+    assert x.shape == (len(odd), len(classifier.NAMES))
+    for got, t in zip(x, odd):
+        assert got.tolist() == pytest.approx(_describe(t), abs=1e-5)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 5)).astype(np.float32)
+    y = (x[:, 1] + x[:, 3] > 0).astype(float)
+    m = classifier.BoostedTrees(trees=8, depth=3).fit(x, y)
+    for row, got in zip(x, m.score(x)):
+        margin = m.prior
+        for feature, cut, leaf in zip(m.feature, m.cut, m.leaf):
+            k = 0
+            while k < len(feature):
+                k = 2 * k + (2 if row[feature[k]] > cut[k] else 1)
+            margin += leaf[k - len(feature)]
+        assert got == pytest.approx(1 / (1 + math.exp(-margin)))
+    assert ((m.score(x) > 0.5) == y).mean() > 0.9
+
+
+def test_classifier_fits_on_a_bounded_choice_that_repeats(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(classifier.BoostedTrees, "fit", lambda self, x, y: sizes.append((len(y), x.tobytes(), y.tobytes())) or self)
+    rows = [(k % 900, f"{'good text here ' * (k % 5)} {k}") for k in range(1500)]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(900)] * 2, "doc_id long, quality int")
+    for parts in (2, 7):
+        classifier.fit(df.repartition(parts), labels.repartition(parts), "quality", F.lit(True), 300)
+    classifier.fit(df, labels, "quality", F.lit(True), 5000)
+    assert sizes[0] == sizes[1] and [n for n, _, _ in sizes] == [300, 300, 3000]
+
+
 def test_classifier(spark, docs, empty):
     good = [(k, " ".join(RNG.choice(WORDS) for _ in range(80))) for k in range(400)]
     bad = [(k, " ".join([RNG.choice(WORDS)] * 80)) for k in range(400, 600)]
@@ -461,6 +539,153 @@ def test_hash_index():
     assert (index.find(keys) == np.arange(5000)).all() and (index.find(keys + np.uint64(1)) == -1).all()
 
 
+def test_token_files_of_bounded_size(spark, docs, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_BYTES", 2000)
+    monkeypatch.setattr(token_files, "FRAME_BYTES", 500)
+    monkeypatch.setattr(token_files, "READ_ROWS", 3)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    more = docs.unionAll(docs).unionAll(docs.where("doc_id < 4").withColumn("text", F.concat("text", F.lit(" other")))).withColumnsRenamed({"lang": "file", "score": "n_tokens"})
+    manifest = token_files.write_files(more, path, new_path(spark, "ids"), 2)
+    assert manifest.count() > 5
+    library = tokenizer(path).library
+    want = Counter()
+    for r in more.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids + [2]
+        want[r.doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    rows = token_files.read_files(manifest).toPandas().sort_values("start")
+    assert Counter((None if d != d else int(d), n, c) for d, n, c in zip(rows.doc_id, rows.n_tokens, rows.ids_crc32)) == want
+    assert rows.start.tolist() == (rows.n_tokens.cumsum() - rows.n_tokens).tolist()
+    names = rows.doc_id.fillna(-1).tolist()
+    assert names == sorted(names)
+
+
+def _brute_mix(rows):
+    """rows: source, size, hash. How often each is taken: sizes below a threshold of hashes, in two rounds."""
+    sizes, times = Counter(), [0] * len(rows)
+    for s, n, _ in rows:
+        sizes[s] += n
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight, target, open_ = {s: k % 3 + 1 for k, s in enumerate(order)}, {}, set(order)
+    while open_:
+        level = (sum(sizes.values()) - sum(target.values())) / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] > 3 * sizes[s]}
+        target |= {s: 3 * sizes[s] if over else level * weight[s] for s in over or open_}
+        open_ -= over or open_
+    for s in order:
+        whole = int(target[s] // sizes[s]) if sizes[s] else 0
+        left = target[s] - whole * sizes[s]
+        own = sorted((h, k) for k, (x, _, h) in enumerate(rows) if x == s)
+        more = set()
+        for _ in range(mixing.ROUNDS):
+            limit, path = left, None
+            for h in sorted({h for h, k in own if k not in more and rows[k][1] <= limit}):
+                group = sum(rows[k][1] for x, k in own if x == h and k not in more and rows[k][1] <= limit)
+                if group > left:
+                    path = h
+                    break
+                left -= group
+            more |= {k for h, k in own if (path is None or h < path) and rows[k][1] <= limit}
+        for _, k in own:
+            times[k] = whole + (k in more)
+    return target, times
+
+
+def test_mixing_against_sorting(spark):
+    rng = random.Random(9)
+    rows = [(k if k % 5 else 7, " ".join(["w"] * rng.choice([0, 1, 9, 40])) if k % 11 else None, rng.choice(["a", "b", "b", "b", "c", "d", None]), "x", 1) for k in range(600)]
+    rows += [(900, "long " * 20_000, "c", "y", 2)] + [rows[3]] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size string, _h int").repartition(4)
+    sized = mixing._sized(df.select("doc_id", "text", "source")).collect()
+    want, times = _brute_mix([(r._source, r._size, r._h) for r in sized])
+    got = mixing.mix(df).collect()
+    assert Counter((r.doc_id, r.size, r.taken) for r in got) == Counter((r.doc_id, r._size, r._size * t) for r, t in zip(sized, times))
+    assert all(r.target == pytest.approx(want[r.source]) for r in got)
+    out = mixing.repeat_by_mix(df)
+    assert out.columns == df.columns
+    again = Counter()
+    for r, t in zip(sized, times):
+        again[r.doc_id, r.text, r.source] += t
+    assert Counter((r.doc_id, r.text, r.source) for r in out.collect()) == +again
+
+
+STRANGE = [(None, "no id at all, but some words", "en", "s1", 5), (701, None, "en", None, 0), (702, "", None, "s2", 0), (703, " \n ", "en", "s3", 3), (704, "word " * 30_000, "en", "s1", 150_000)]
+
+
+def _pipeline_documents():
+    rng = random.Random(21)
+    say = [f"{rng.choice(WORDS)}{k}" for k in range(400)]
+    rows = []
+    for k in range(160):
+        text = "\n".join(" ".join(rng.choice(say) for _ in range(12)) for _ in range(6)) + f"\nall rights {k % 2}"
+        rows.append((k, text, "en", f"s{k % 9}", len(text)))
+    for k in range(160, 200):  # near copies
+        text = rows[k - 160][1].replace(" ", f" x{k} ", 1)
+        rows.append((k, text, "en", f"s{k % 9}", len(text)))
+    return rows + [(200, "all rights 0\nall rights 1", "en", "s0", 25), rows[5], rows[5], *STRANGE]
+
+
+def test_pipeline_stages_against_plain_python(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rows = _pipeline_documents()
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    stages = dict(P.STAGES)
+    docs = spark.createDataFrame(rows, columns).repartition(3)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    junk = [(1000 + k, " ".join(["| $ 7"] * 40)) for k in range(120)]
+    labels = [(r[0], 1) for r in rows[:160]] + [(d, 0) for d, _ in junk] + [(None, 1), (1, None), (99999, 1)]
+    docs = docs.unionByName(spark.createDataFrame([(d, t, "en", "s1", len(t)) for d, t in junk], columns))
+    docs.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    tuples = lambda df: [tuple(r) for r in df.collect()]
+
+    kept = stages["quality"](spark, docs, str(tmp_path)).persist()
+    score = {r.doc_id: r.score for r in classifier.classify(docs, spark.read.parquet(str(tmp_path / "labels.parquet"))).collect()}
+    got = tuples(kept)
+    assert kept.columns == docs.columns and not {d for d, _ in junk} & {r[0] for r in got} and {r[0] for r in rows[:160]} <= {r[0] for r in got} and min(score[r[0]] for r in rows[:160]) > 0.5
+    assert not Counter(got) - Counter(tuples(docs))
+
+    docs, rows = spark.createDataFrame(rows, columns).repartition(3), rows
+    lines = stages["line_dedup"](spark, docs, "").persist()
+    want = [(d, t, *r[2:4], len(t) if gone else r[4]) for (d, t, n, gone), r in zip(_brute_lines([(r[0], r[1], r[3]) for r in rows]), rows) if gone == 0 or gone < n]
+    assert lines.columns == docs.columns and Counter(tuples(lines)) == Counter(want) and len(want) < len(rows)
+
+    near = stages["near_dedup"](spark, lines, "").persist()
+    low, _ = _brute_components([(r[0], r[1]) for r in want], 5, 80)
+    want = [r for r in want if r[0] is None or low[r[0]] == r[0]]
+    assert near.columns == docs.columns and Counter(tuples(near)) == Counter(want) and len({r[0] for r in want}) < 180
+
+    mixed = stages["mixing"](spark, near, "").persist()
+    sized = mixing._sized(near).collect()
+    _, times = _brute_mix([(r._source, r._size, r._h) for r in sized])
+    again = Counter()
+    for r, t in zip(sized, times):
+        again[tuple(r)[:5]] += t
+    assert mixed.columns == docs.columns and Counter(tuples(mixed)) == +again
+
+    packed = stages["packing"](spark, mixed, "").toPandas()
+    library = tokenizer(public_tokenizers.path("word_bpe_49k.json")).library
+    pieces = Counter()
+    for r in tuples(mixed):
+        ids = library.encode(r[1] or "", add_special_tokens=False).ids + [2]
+        for at in range(0, len(ids), 4096):
+            pieces[r[0], at, len(ids[at : at + 4096]), zlib.crc32(np.array(ids[at : at + 4096], "<u4").tobytes()), len(ids)] += 1
+    names = [None if d != d else int(d) for d in packed.doc_id]
+    assert Counter(zip(names, packed.start, packed.length, packed.ids_crc32, packed.doc_tokens)) == pieces
+    order = packed.sort_values(["sequence_id", "offset"])
+    assert ((order.groupby("sequence_id").length.cumsum() - order.length) == order.offset).all()
+    bins, _ = packing.first_fit_decreasing(packed.length.to_numpy(), 4096)
+    assert packed.sequence_id.nunique() == len(set(bins)) and packed.groupby("sequence_id").length.sum().max() <= 4096
+
+    for name, stage in P.STAGES:
+        clash = docs.limit(0).withColumn("a.b", F.lit(1)).withColumn("_s", F.lit("x"))
+        assert stage(spark, clash, str(tmp_path)).count() == 0
+        if name != "packing":
+            few = docs.where("doc_id > 150 OR doc_id IS NULL").withColumn("a.b", F.lit(1)).withColumnsRenamed({"lang": "component"})
+            assert stage(spark, few, str(tmp_path)).columns == few.columns
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 

@@ -6,7 +6,8 @@ shuffle, so a hot source costs no more), then only the bucket on the boundary is
 times. Nothing is sorted but the few rows of a histogram.
 
 Defined results: null texts have size 0; a null source is one source, the last; rows that repeat doc_id and text share a
-hash, hence a decision; without words all targets are 0; an empty table gives no rows; other columns are not read.
+hash, hence a decision: a group of them larger than what is left of its source's target is left out as a whole, so up to
+the group's words may then be missing from the target; without words all targets are 0; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import own_columns, read, written
 
 #: 3 levels of 4096 buckets: 2^36 buckets on the boundary.
 LEVELS, BITS = 3, 12
@@ -80,12 +81,12 @@ def mix(docs: DataFrame, target_of=targets) -> DataFrame:
 
 
 def repeat_by_mix(docs: DataFrame, target_of=targets) -> DataFrame:
-    """docs, each as often as the mix takes it."""
-    rows = docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    """docs, each as often as the mix takes it. Rows without words are taken as often as every row of their source is."""
+    rows = docs.select("doc_id", "text", "source", F.struct(*own_columns(docs)).alias("row"))
     sized = _sized(rows).select("row", "_source", "_size", "_h")
     goals = thresholds(written(sized.drop("row"), "sizes"), target_of)
     out = mixed(sized, goals).where("times > 0").withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def _named(rows: DataFrame, goals: DataFrame, k: int) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Each document is tokenised where it lies and cut into pieces of `length` ids and a rest. Only the description of a piece
 (a few numbers) is shuffled: pieces are dealt at random to groups of about GROUP pieces, whatever their document or source,
-and each group is packed alone, so no task grows with the input. In a group, pieces go from long to short to the first
+and each group is packed alone, so no task grows with the input. (All pieces of a document but its rest are full and have a
+sequence of their own, so what is packed in a group is one rest for each of its documents.) In a group, pieces go from long to short to the first
 sequence with room; a tournament tree over the capacities finds it in logarithmic time.
 
 Defined results: null texts are empty (the end id alone); repeated rows are packed as often as they occur; a null doc_id
