@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import own_columns, read, tidy
+from .common import own_columns, read, tidy, written
 from .quality_rules import STOP_WORDS
 
 #: The most labelled rows used for fitting.
@@ -158,7 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int
     ids = docs.select(F.col("doc_id").cast("long"))
     n = ids.where(train).join(known, "doc_id").count()
     few = F.lit(True) if n <= most else h < int((1 << 20) * most / n * 1.2) + 64  # a few more than `most`, then cut exactly
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(train & few).join(known.where(few), "doc_id")
+    chosen = written(known.where(few).join(ids.where(train & few).distinct(), "doc_id", "left_semi"), "chosen")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = rows.join(F.broadcast(chosen) if chosen.count() <= 2 * most else chosen, "doc_id")  # texts stay where they are
     got = describe(rows, "y double").select(h.alias("_h"), "x", "y").orderBy("_h", "x", "y").limit(most).toArrow()
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, len(NAMES))
     return BoostedTrees().fit(x, got["y"].to_numpy())
