@@ -407,6 +407,7 @@ def _families(rng):
 @pytest.mark.parametrize("most_ids", [1 << 20, 0])
 def test_near_duplicates(spark, docs, empty, monkeypatch, most_ids):
     monkeypatch.setattr(near_dedup, "MOST_IDS", most_ids)  # 0: as for tables beyond what is broadcast
+    monkeypatch.setattr(near_dedup, "MOST_LABELS", most_ids)
     monkeypatch.setattr(near_dedup, "MOST_HOT", 8)
     rows = _families(random.Random(3))
     n = len(rows)

@@ -36,8 +36,10 @@ SKETCH = 64
 LONE_BLOCK, BLOCK = 1 << 16, 1 << 18
 #: Rows in a block of a crowded region: asking rows, and rows that answer.
 ASKING, ANSWERING = 1 << 10, 1 << 12
-#: Rows of ids or labels that are broadcast (16 bytes each, counted before); more are joined by a shuffle.
+#: Ids of documents that are broadcast (8 bytes each, counted before); more are joined by a shuffle.
 MOST_IDS = 1 << 20
+#: Labels of nodes that are broadcast (28 bytes each at most, counted before).
+MOST_LABELS = 1 << 17
 #: The most keys that count as hot: those with at least 1 / MOST_HOT of the rows. Their rows meet a broadcast.
 MOST_HOT = 1 << 14
 _A = K.mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
@@ -220,7 +222,7 @@ def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 def _found(left: DataFrame, right: DataFrame, key: list[str], n: int, how: str = "left") -> DataFrame:
     """left with the columns of its row in right, which has each key once; both have at most n rows. Where one key may hold a
     large share of left, its rows meet a broadcast of at most MOST_HOT rows, and only the others are shuffled."""
-    if n <= MOST_IDS:
+    if n <= MOST_LABELS:
         return left.join(F.broadcast(right), key, how)
     hot = left.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= max(2, n // MOST_HOT)).drop("_n").dropna()
     hot = written(right.join(F.broadcast(hot), key, "left_semi").withColumn("_hot", F.lit(True)), "hot")
