@@ -13,7 +13,7 @@ from veilspark.operators.tables import preview, report, scrub_table
 from veilspark.sources import files
 from veilspark.streaming.scrub_stream import scrub_stream
 
-TEXTS = ["身分證A123456789,手機0912345678", "A12345\n6789再次出現", "另一位F131104093", "無", "", None]
+TEXTS = ["身分證K182504372,手機0912345678", "K18250\n4372再次出現", "另一位F270000018", "無", "", None]
 
 
 def _df(spark):
@@ -41,9 +41,9 @@ def test_placeholders(spark):
     f = rows[0].findings[1]
     assert rows[0].scrubbed[f.scrubbed_start : f.scrubbed_end] == "<MOBILE_1>"
     ids = mapping(out, "id")
-    assert {(r.placeholder, r.value) for r in ids.collect()} == {("<TW_ID_1>", "A123456789"), ("<TW_ID_2>", "F131104093"), ("<MOBILE_1>", "0912345678")}
+    assert {(r.placeholder, r.value) for r in ids.collect()} == {("<TW_ID_1>", "K182504372"), ("<TW_ID_2>", "F270000018"), ("<MOBILE_1>", "0912345678")}
     back = {r.id: r.restored for r in restore(out.where("scrubbed is not null").select("id", "scrubbed"), "scrubbed", ids).collect()}
-    assert back[0] == TEXTS[0] and back[1] == "A123456789再次出現" and back[4] == ""
+    assert back[0] == TEXTS[0] and back[1] == "K182504372再次出現" and back[4] == ""
 
 
 def test_errors(spark):
@@ -58,12 +58,12 @@ def test_errors(spark):
 
 
 def test_table(spark):
-    df = spark.createDataFrame([(2, "陳小明", "手機0912345678", "a"), (3, "", "A123456789", "b"), (4, "陳小明", None, "c")], "row int, `姓名` string, `備註` string, `編號` string")
+    df = spark.createDataFrame([(2, "陳小明", "手機0912345678", "a"), (3, "", "K182504372", "b"), (4, "陳小明", None, "c")], "row int, `姓名` string, `備註` string, `編號` string")
     plan = {"姓名": "mask_all", "備註": "ner", "編號": "skip"}
     out, found, ids = scrub_table(df, plan, "row")
-    assert [tuple(r) for r in out.orderBy("row").collect()] == [(2, "陳○○", "手機091****678", "a"), (3, "", "A1******89", "b"), (4, "陳○○", None, "c")] and ids is None
+    assert [tuple(r) for r in out.orderBy("row").collect()] == [(2, "陳○○", "手機091****678", "a"), (3, "", "K1******72", "b"), (4, "陳○○", None, "c")] and ids is None
     text = report(found, "row", "t.csv", "csv", "mask", plan).first().report
-    assert "陳小明" not in text and "A123456789" not in text and '"COLUMN_MASK":2' in text
+    assert "陳小明" not in text and "K182504372" not in text and '"COLUMN_MASK":2' in text
     out, _, ids = scrub_table(df, plan, "row", "placeholder")
     assert [r.姓名 for r in out.orderBy("row").collect()] == ["<姓名_1>", "", "<姓名_1>"] and ids.count() == 3
     for bad in ({"姓名": "ner"}, {**plan, "編號": "drop"}):
@@ -108,4 +108,4 @@ def test_stream(spark, tmp_path):
         q.processAllAvailable()
     finally:
         q.stop()
-    assert {r.id: r.scrubbed for r in spark.table("masked").collect()}[2] == "另一位F1******93"
+    assert {r.id: r.scrubbed for r in spark.table("masked").collect()}[2] == "另一位F2******18"

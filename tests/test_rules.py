@@ -6,10 +6,10 @@ import re
 import pytest
 
 from veilspark.functions import ner
-from veilspark.functions.detect import detect
+from veilspark.functions.detect import detect, extract, resolve, without_contained
 from veilspark.functions.masks import mask_value
 from veilspark.functions.normalise import Shadow
-from veilspark.plans.entities import TAGS, business_number_ok, chosen, luhn_ok, minguo_date_ok, national_id_ok
+from veilspark.plans.entities import RULES, TAGS, Span, business_number_ok, chosen, luhn_ok, minguo_date_ok, national_id_ok, rule
 
 ALL = set(TAGS)
 
@@ -26,22 +26,79 @@ def masked(text):
     return out + text[at:]
 
 
-@pytest.mark.parametrize("v", "A123456789 F131104093 O158238845 N116247806 L122544270 C180661564 Y123456788 A800000014 A900207177 B801300667".split())
+def _id(letter, digits, off=0):
+    """An ID with its check digit, from the table of letters as pairs of digits; off makes it wrong."""
+    pairs = dict(zip("ABCDEFGHIJKLMNOPQRSTUVWXYZ", (10, 11, 12, 13, 14, 15, 16, 17, 34, 18, 19, 20, 21, 22, 35, 23, 24, 25, 26, 27, 28, 29, 32, 30, 31, 33)))
+    weighted = pairs[letter] // 10 + 9 * (pairs[letter] % 10) + sum(w * int(d) for w, d in zip(range(8, 0, -1), digits))
+    return f"{letter}{digits}{(-weighted + off) % 10}"
+
+
+def _business(first, ok):
+    """The first number from `first` on that is valid or not, by the sum of the digits of weighted digits."""
+    for n in range(first, first + 100):
+        d = f"{n:08d}"
+        total = sum(int(x) for w, c in zip("12121241", d) for x in str(int(w) * int(c)))
+        if (total % 5 == 0 or (d[6] == "7" and (total + 1) % 5 == 0)) == ok:
+            return d
+
+
+_RNG = random.Random(13)
+IDS = [_id(c, _RNG.choice("1289") + f"{_RNG.randrange(10**7):07d}") for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+
+
+@pytest.mark.parametrize("v", IDS)
 def test_national_id(v):
     assert national_id_ok(v) and kinds(v) == ["TW_NATIONAL_ID"]
 
 
-@pytest.mark.parametrize("v", "A123456788 F131104091 L122544271 A800000000 F931104091 B2C4567890 a123456789 A323456789 XA123456789 A1234567891".split())
+@pytest.mark.parametrize("v", [_id(c, "2" + f"{_RNG.randrange(10**7):07d}", _RNG.randint(1, 9)) for c in "AFIOWZ"] + [IDS[0].lower(), "A3" + IDS[0][2:], "X" + IDS[1], IDS[2] + "1", IDS[3][:4] + "C" + IDS[3][5:]])
 def test_no_national_id(v):
     assert "TW_NATIONAL_ID" not in kinds(v)
 
 
 def test_checksums():
-    assert all(map(business_number_ok, "12345670 12345671 12345675 12345676 04595257".split()))
-    assert not any(map(business_number_ok, "12345678 12345672 04595253".split()))
+    for first in range(10_000_000, 99_000_000, 7_654_321):
+        assert business_number_ok(_business(first, True)) and not business_number_ok(_business(first, False))
     assert luhn_ok("4111111111111111") and not luhn_ok("4111111111111112")
     assert minguo_date_ok("1090229")
-    assert not any(map(minguo_date_ok, "990229 990230 990231 990431 1000229 991301 990132 990100".split()))
+    assert not any(map(minguo_date_ok, "1000229 1101301 1101132 1100431 991200".split()))
+
+
+def test_resolution_against_trying_all():
+    rng = random.Random(17)
+    for _ in range(400):
+        spans = [Span(rng.choice("AB"), a, a + rng.randint(1, 6), rng.choice([0.5, 0.7, 0.9]), "x", k) for k in range(rng.randint(0, 12)) for a in [rng.randint(0, 20)]]
+        free, want = set(range(40)), []
+        for s in sorted(spans, key=lambda s: (s.score, s.end - s.start, -s.start, -s.order), reverse=True):
+            if free >= set(range(s.start, s.end)):
+                free -= set(range(s.start, s.end))
+                want.append(s)
+        assert resolve(spans) == sorted(want, key=lambda s: s.start)
+        inside = lambda a, b: a.entity == b.entity and b.start <= a.start and a.end <= b.end and a.score <= b.score
+        left = without_contained(spans)
+        assert left == [s for s in spans if not any(inside(s, o) and (not inside(o, s) or o.order < s.order) for o in spans if o is not s)]
+
+
+def test_guards_and_more_rules():
+    every = [r._replace(may=lambda t: True) for r in RULES]
+    rng = random.Random(19)
+    parts = ["0912345678", "０９１２-345-678", "02-2720 ", "(037)123456", "12345675", "a@b.tw", "生日", "1000101", "AB12345678", "4111-1111-1111-1111", "代號: 12", "0021234567890", "信義路4段1號", " ", "x", "帳號"]
+    for _ in range(2000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))
+        assert extract(t, ALL) == [s._replace(order=s.order) for s in _unguarded(every, t)]
+    ticket = rule("TICKET", "Ticket", r"T-\d{4}", lambda v, c: 0.9 if c else 0.3, context=("票號",))
+    assert [(s.entity, s.start, s.end) for s in detect("票號T-1234", ALL | {"TICKET"}, extra=[ticket])] == [("TICKET", 2, 8)]
+    assert detect("T-1234", ALL | {"TICKET"}, extra=[ticket]) == [] and chosen(["TICKET"], (ticket,)) == ["TICKET"]
+
+
+def _unguarded(rules, text):
+    from veilspark.functions import detect as module
+
+    kept, module.RULES = module.RULES, tuple(rules)
+    try:
+        return extract(text, ALL)
+    finally:
+        module.RULES = kept
 
 
 @pytest.mark.parametrize("text,kind", [(p, "TW_MOBILE") for p in ("0912345678", "0912-345-678", "0912-345678")] + [(p, "TW_PHONE") for p in ("02-27208889", "(02)2720-8889", "04-2228-9111", "03-5776085", "037-123456")] + [("手機0912345678", "TW_MOBILE"), ("保單號碼0912345678", "TW_POLICY_NO"), ("帳號0123456789012", "TW_BANK_ACCOUNT"), ("4111-1111-1111-1111", "CREDIT_CARD"), ("統編1234\n5675開發票", "TW_UBN"), ("總機(02)2720 8889", "TW_PHONE"), ("身分證A１２３４５６７８９", "TW_NATIONAL_ID"), ("手機０９１２３４５６７８", "TW_MOBILE"), ("生日１０００１０１", "BIRTHDAY"), ("台北市大安區信義路四段1號5樓", "LOC"), ("test@exam\nple.com", "EMAIL_ADDRESS")])
@@ -54,7 +111,7 @@ def test_left_alone(text):
     assert masked(text) == text
 
 
-@pytest.mark.parametrize("text,want", [("客戶生日1000101", "客戶生日100****"), ("客戶生日990101", "客戶生日99****"), ("這筆AB12345678資料", "這筆AB******78資料"), ("卡號4111111111111111", "卡號" + "*" * 12 + "1111"), ("4111 1111 1111 1111", "**** **** **** 1111"), ("代號111", "代號***"), ("代號:23", "代號:**"), ("郵局帳號00212345678901", "郵局帳號" + "*" * 10 + "8901"), ("賣方統一編號:04595257", "賣方統一編號:04****57"), ("A12345\n6789", "A1****\n**89"), ("A12345 6789", "A1**** **89"), ("qwe@\ngmail\n.com", "q***@\ngmail\n.com"), ("電話02-2720\n8889分機3", "電話02-****\n**89分機3"), ("電話02 2720 8889", "電話02 **** **89")])
+@pytest.mark.parametrize("text,want", [("客戶生日1000101", "客戶生日100****"), ("客戶生日990101", "客戶生日99****"), ("這筆AB12345678資料", "這筆AB******78資料"), ("卡號4111111111111111", "卡號" + "*" * 12 + "1111"), ("4111 1111 1111 1111", "**** **** **** 1111"), ("代號111", "代號***"), ("代號:23", "代號:**"), ("郵局帳號00212345678901", "郵局帳號" + "*" * 10 + "8901"), ("賣方統一編號:10458574", "賣方統一編號:10****74"), ("A12345\n6789", "A1****\n**89"), ("A12345 6789", "A1**** **89"), ("qwe@\ngmail\n.com", "q***@\ngmail\n.com"), ("電話02-2720\n8889分機3", "電話02-****\n**89分機3"), ("電話02 2720 8889", "電話02 **** **89")])
 def test_masks(text, want):
     assert masked(text) == want
 

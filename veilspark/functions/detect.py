@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Sequence
 
-from ..plans.entities import CONTEXT, PHONE_WORDS, RULES, THRESHOLD, Span
+from ..plans.entities import PHONE_WORDS, RULES, THRESHOLD, Rule, Span, look
 from .normalise import BREAKS, Shadow
 
 #: Characters before and after a match in which context words count.
@@ -12,18 +13,18 @@ AROUND = (15, 8)
 PHONE_AROUND = 15
 
 
-def extract(text: str, wanted: set[str]) -> list[Span]:
+def extract(text: str, wanted: set[str], extra: Sequence[Rule] = ()) -> list[Span]:
     """All spans of the rules, whatever their score."""
     out: list[Span] = []
     separated: list[Span] = []
-    for order, rule in enumerate(RULES):
-        if rule.entity not in wanted:
+    seen = look(text)
+    for order, rule in enumerate((*RULES, *extra)):
+        if rule.entity not in wanted or not rule.may(seen):
             continue
-        words = CONTEXT.get(rule.entity)
         for m in rule.pattern.finditer(text):
-            near = bool(words) and any(w in text[max(0, m.start() - AROUND[0]) : m.end() + AROUND[1]] for w in words)
+            near = bool(rule.context) and any(w in text[max(0, m.start() - AROUND[0]) : m.end() + AROUND[1]] for w in rule.context)
             score = rule.judge(m.group(), near)
-            if score is None:
+            if score is None or m.start() == m.end():
                 continue
             span = Span(rule.entity, m.start(), m.end(), score, rule.name, order)
             if rule.name == "Landline":
@@ -35,18 +36,35 @@ def extract(text: str, wanted: set[str]) -> list[Span]:
 
 
 def without_contained(spans: list[Span]) -> list[Span]:
-    """Without spans inside one of the same entity with at least their score."""
-    inside = lambda a, b: b.entity == a.entity and b.start <= a.start and a.end <= b.end and b.score >= a.score
-    return [a for k, a in enumerate(spans) if not any(inside(a, b) and ((b.start, b.end, b.score) != (a.start, a.end, a.score) or j < k) for j, b in enumerate(spans) if j != k)]
+    """Without spans inside one of the same entity with at least their score (of equal ones the first stays).
+
+    From left to right, longest first: what could hold a span is then behind it, and of those only the ones that no later
+    span beats in both reach and score."""
+    out: list[tuple[int, Span]] = []
+    reach: dict[str, list[tuple[int, float]]] = {}  # by entity: ends fall as scores rise
+    for k, s in sorted(enumerate(spans), key=lambda x: (x[1].start, -x[1].end, -x[1].score, x[0])):
+        best = reach.setdefault(s.entity, [])
+        if any(end >= s.end and score >= s.score for end, score in best):
+            continue
+        best[:] = [x for x in best if x[0] > s.end or x[1] > s.score]
+        best.append((s.end, s.score))
+        out.append((k, s))
+    return [s for _, s in sorted(out)]
 
 
 def resolve(spans: Iterable[Span]) -> list[Span]:
-    """Disjoint spans: by score, then length, then place."""
+    """Disjoint spans, in the order of the text. Who comes first keeps its place: the higher score, then the longer, then the
+    one further left. What is taken stands in order, so a newcomer meets at most its two neighbours there."""
+    starts: list[int] = []
     taken: list[Span] = []
-    for s in sorted(spans, key=lambda s: (-s.score, s.start - s.end, s.start, s.order)):
-        if all(s.end <= t.start or t.end <= s.start for t in taken):
-            taken.append(s)
-    return sorted(taken, key=lambda s: (s.start, s.end))
+    for s in sorted(spans, key=lambda x: (-x.score, x.start - x.end, x.start, x.order)):
+        k = bisect_left(starts, s.end)
+        # all from k on begin behind s; the one before k ends last of those that begin before s ends
+        if k and taken[k - 1].end > s.start:
+            continue
+        starts.insert(k, s.start)
+        taken.insert(k, s)
+    return taken
 
 
 def _allowed(text: str, span: Span, terms: list[str]) -> bool:
@@ -59,15 +77,15 @@ def _allowed(text: str, span: Span, terms: list[str]) -> bool:
     return False
 
 
-def detect(text: str, wanted: set[str], allow: list[str] = (), join_broken: bool = True, ner: Callable[[str, set[str]], list[Span]] | None = None) -> list[Span]:
+def detect(text: str, wanted: set[str], allow: list[str] = (), join_broken: bool = True, ner: Callable[[str, set[str]], list[Span]] | None = None, extra: Sequence[Rule] = ()) -> list[Span]:
     """Findings in the order of the text, at its own offsets."""
-    look = lambda t: [s for s in extract(t, wanted) if s.score >= THRESHOLD]
+    found = lambda t: [s for s in extract(t, wanted, extra) if s.score >= THRESHOLD]
     shadow = Shadow(text) if join_broken else None
     first = shadow.text if shadow else text
-    spans = without_contained(look(first) + (ner(first, wanted) if ner else []))
+    spans = without_contained(found(first) + (ner(first, wanted) if ner else []))
     if shadow:
         spans = [s._replace(start=a, end=b) for s in spans for a, b in [shadow.back(s.start, s.end)]]
         spans = [s for s in spans if s.entity != "TW_PHONE" or not set(text[s.start : s.end]) & set(BREAKS) or any(w in text[max(0, s.start - PHONE_AROUND) : s.end + PHONE_AROUND] for w in PHONE_WORDS)]
         if first != text:
-            spans += look(text)
+            spans += found(text)
     return resolve(s for s in spans if not allow or not _allowed(text, s, allow))

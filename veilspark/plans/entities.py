@@ -1,7 +1,9 @@
 """The entities, their tags in placeholders, and the rules that find them, as data.
 
-A rule is a pattern, and a function from the match and the text to a score; None means no span. Digits are any Unicode
-decimal digits unless a pattern says [0-9].
+A rule is a pattern, a function from the match and the text to a score (None means no span), and a cheap condition on the
+text without which the pattern cannot match. Digits are any Unicode decimal digits unless a pattern says [0-9].
+
+More rules can be given to a call (see rule()); their entities need not be in the catalogue.
 """
 
 from __future__ import annotations
@@ -52,11 +54,29 @@ class Span(NamedTuple):
     order: int
 
 
+class Look(NamedTuple):
+    """What a text has: all its digits, and the most of them in a row."""
+
+    text: str
+    digits: int
+    longest: int
+
+
 class Rule(NamedTuple):
     entity: str
     name: str
     pattern: re.Pattern
     judge: Callable[[str, bool], float | None]
+    may: Callable[[Look], bool]
+    context: tuple[str, ...]
+
+
+_DIGITS = re.compile(r"\d+")
+
+
+def look(text: str) -> Look:
+    runs = [len(r) for r in _DIGITS.findall(text)]
+    return Look(text, sum(runs), max(runs, default=0))
 
 
 def _digits(value: str) -> list[int]:
@@ -89,8 +109,21 @@ def minguo_date_ok(value: str) -> bool:
     return True
 
 
-def _rule(entity: str, name: str, pattern: str, judge: Callable[[str, bool], float | None] | float) -> Rule:
-    return Rule(entity, name, re.compile(pattern), judge if callable(judge) else lambda v, c: judge)
+def rule(entity: str, name: str, pattern: str, judge: Callable[[str, bool], float | None] | float, may: Callable[[Look], bool] = lambda t: True, context: tuple[str, ...] = ()) -> Rule:
+    """judge: a score, or a function of the match and of whether a word of `context` is near."""
+    return Rule(entity, name, re.compile(pattern), judge if callable(judge) else lambda v, c: judge, may, context or CONTEXT.get(entity, ()))
+
+
+def _run(n: int) -> Callable[[Look], bool]:
+    return lambda t: t.longest >= n
+
+
+def _all(n: int) -> Callable[[Look], bool]:
+    return lambda t: t.digits >= n
+
+
+def _has(part: str) -> Callable[[Look], bool]:
+    return lambda t: part in t.text
 
 
 def _alone(body: str, left: str = "0-9A-Za-z", right: str = "0-9A-Za-z") -> str:
@@ -107,26 +140,26 @@ ADDRESS = (
 )
 
 RULES: tuple[Rule, ...] = (
-    _rule("TW_NATIONAL_ID", "NationalId", _alone(r"[A-Z][1289]\d{8}"), lambda v, c: 0.95 if national_id_ok(v) else 0.1),
-    _rule("TW_MOBILE", "Mobile", _alone(r"09\d{8}"), 0.85),
-    _rule("TW_MOBILE", "Mobile", _alone(r"09\d\d-\d{3}-?\d{3}", "0-9A-Za-z-", "0-9A-Za-z-"), 0.85),
-    _rule("TW_PHONE", "Landline", _alone(rf"(?:\(0[2-8]\d{{0,2}}\)|0[2-8]\d{{0,2}}{_GAP})\d{{2,4}}{_GAP}?\d{{4}}", "0-9A-Za-z(-"), 0.75),
-    _rule("TW_PHONE", "LandlineBare", _alone(r"0[2-8]\d{7,8}", "0-9A-Za-z(-", "0-9"), 0.45),
-    _rule("TW_UBN", "BusinessNumber", _alone(r"\d{8}"), lambda v, c: (0.95 if c else 0.45) if business_number_ok(v) else (0.1 if c else None)),
-    _rule("EMAIL_ADDRESS", "Email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])", 1.0),
-    _rule("BIRTHDAY", "MinguoBirthday", r"(?<!\d)(?:1[0-2]\d|0[1-9]|[1-9]\d)\d{4}(?!\d)", lambda v, c: (0.95 if c else 0.45) if minguo_date_ok(v) else None),
-    _rule("TW_POLICY_NO", "PolicyNumber", _alone(r"[A-Z]{2}\d{8}|[A-Z]{3}\d{7}|[A-Z]{4}\d{6}|[A-Z]{5}\d{5}"), lambda v, c: 0.95 if c else 0.7),
-    _rule("TW_POLICY_NO", "PolicyNumber", _alone(r"\d{10}"), lambda v, c: 0.95 if c else 0.45),
-    _rule("CREDIT_CARD", "PaymentCard", _alone(r"\d{16}|\d{4}-\d{4}-\d{4}-\d{4}", "0-9A-Za-z-", "0-9A-Za-z-"), lambda v, c: 0.95 if luhn_ok(v) else 0.1),
-    _rule("AGENT_CODE", "AgentCode", r"代號[:：]?\s?\d{2,3}(?!\d)", 0.9),
-    _rule("TW_BANK_ACCOUNT", "BankAccount", _alone(r"\d{13,14}"), lambda v, c: 0.95 if c else 0.75),
-    _rule("LOC", "Address", ADDRESS, 0.9),
+    rule("TW_NATIONAL_ID", "NationalId", _alone(r"[A-Z][1289]\d{8}"), lambda v, c: 0.95 if national_id_ok(v) else 0.1, _run(9)),
+    rule("TW_MOBILE", "Mobile", _alone(r"09\d{8}"), 0.85, _run(10)),
+    rule("TW_MOBILE", "Mobile", _alone(r"09\d\d-\d{3}-?\d{3}", "0-9A-Za-z-", "0-9A-Za-z-"), 0.85, lambda t: t.digits >= 10 and "-" in t.text),
+    rule("TW_PHONE", "Landline", _alone(rf"(?:\(0[2-8]\d{{0,2}}\)|0[2-8]\d{{0,2}}{_GAP})\d{{2,4}}{_GAP}?\d{{4}}", "0-9A-Za-z(-"), 0.75, _all(8)),
+    rule("TW_PHONE", "LandlineBare", _alone(r"0[2-8]\d{7,8}", "0-9A-Za-z(-", "0-9"), 0.45, _run(9)),
+    rule("TW_UBN", "BusinessNumber", _alone(r"\d{8}"), lambda v, c: (0.95 if c else 0.45) if business_number_ok(v) else (0.1 if c else None), _run(8)),
+    rule("EMAIL_ADDRESS", "Email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])", 1.0, _has("@")),
+    rule("BIRTHDAY", "MinguoBirthday", r"(?<!\d)(?:1[0-2]\d|0[1-9]|[1-9]\d)\d{4}(?!\d)", lambda v, c: (0.95 if c else 0.45) if minguo_date_ok(v) else None, _run(6)),
+    rule("TW_POLICY_NO", "PolicyNumber", _alone(r"[A-Z]{2}\d{8}|[A-Z]{3}\d{7}|[A-Z]{4}\d{6}|[A-Z]{5}\d{5}"), lambda v, c: 0.95 if c else 0.7, _run(5)),
+    rule("TW_POLICY_NO", "PolicyNumber", _alone(r"\d{10}"), lambda v, c: 0.95 if c else 0.45, _run(10)),
+    rule("CREDIT_CARD", "PaymentCard", _alone(r"\d{16}|\d{4}-\d{4}-\d{4}-\d{4}", "0-9A-Za-z-", "0-9A-Za-z-"), lambda v, c: 0.95 if luhn_ok(v) else 0.1, _all(16)),
+    rule("AGENT_CODE", "AgentCode", r"代號[:：]?\s?\d{2,3}(?!\d)", 0.9, _has("代號")),
+    rule("TW_BANK_ACCOUNT", "BankAccount", _alone(r"\d{13,14}"), lambda v, c: 0.95 if c else 0.75, _run(13)),
+    rule("LOC", "Address", ADDRESS, 0.9, _has("號")),
 )
 
 
-def chosen(entities: list[str] | None) -> list[str]:
+def chosen(entities: list[str] | None, extra: tuple[Rule, ...] = ()) -> list[str]:
     """The known entities of a selection, in the order of the catalogue; None selects all, an empty result is an error."""
-    got = [e for e in TAGS if entities is None or e in entities]
+    got = [e for e in dict.fromkeys([*TAGS, *(r.entity for r in extra)]) if entities is None or e in entities]
     if not got:
         raise ValueError("no known entity is selected")
     return got
