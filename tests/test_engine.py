@@ -2,14 +2,19 @@
 
 import base64
 import io
+import json
+import time
 import zipfile
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
 
 from veilspark.operators.names import distinct_names, output_name
-from veilspark.operators.scrub import mapping, restore, scrub
+from veilspark.operators.file_scrub import saved_names, scrub_files
+from veilspark.operators.scrub import detect_findings, entity_counts, mapping, restore, scrub, scrubbed
 from veilspark.operators.tables import preview, report, scrub_table
+from veilspark.plans.control import DeadlineExceeded, run_within
 from veilspark.sources import files
 from veilspark.streaming.scrub_stream import scrub_stream
 
@@ -72,6 +77,123 @@ def test_table(spark):
     assert [(r.name, list(r.samples), r.row_count) for r in preview(df, "row").orderBy("col").collect()][0] == ("姓名", ["陳小明", "陳小明"], 3)
 
 
+def test_table_rows_keep_to_themselves(spark):
+    rows = [(3, "李一", "手機0912345678"), (3, "趙二", "手機0987654321"), (None, "王小明", "K182504372"), (None, "錢四", None), (4, None, "")]
+    df = spark.createDataFrame(rows, "row int, `a.b` string, note string").repartition(3)
+    plan = {"a.b": "mask_all", "note": "ner"}
+    out, found, _ = scrub_table(df, plan, "row")
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, out.collect()), key=key) == sorted([(3, "李○", "手機091****678"), (3, "趙○", "手機098****321"), (None, "王○○", "K1******72"), (None, "錢○", None), (4, None, "")], key=key)
+    assert out.columns == df.columns and found.count() == 7 and "李一" not in str(found.collect())
+    out, found, ids = scrub_table(df, plan, "row", "placeholder")
+    values = {(r.tag, r.value): r.placeholder for r in ids.collect()}
+    assert len(values) == len(set(values.values())) == 7
+    tag = {"0912345678": "MOBILE", "0987654321": "MOBILE"}
+    want = []
+    for n, name, note in rows:
+        new = values[("a.b", name)] if name else name
+        for v in ("0912345678", "0987654321", "K182504372"):
+            note = note.replace(v, values[(tag.get(v, "TW_ID"), v)]) if note else note
+        want.append((n, new, note))
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(want, key=key)
+    assert [r.replacement for r in found.where("row = 4 OR row IS NULL").collect()] == [r.replacement for r in found.where("row = 4 OR row IS NULL").orderBy("row", "col", "finding").collect()]
+    none, _, _ = scrub_table(df.limit(0), plan, "row", "placeholder")
+    assert none.count() == 0
+
+
+def test_numbers_run_on_over_ranges(spark):
+    rows = [(k, f"手機09{(k * 7919) % 500:08d},電話02-2720{k % 30:04d}", k % 3) for k in range(1500)]
+    df = spark.createDataFrame(rows, "id int, text string, branch int").repartition(5)
+    seen = spark.sparkContext.accumulator(0)
+
+    def names(text, wanted):
+        seen.add(1)
+        return []
+
+    out = scrub(df, mode="placeholder", order="id", scope=["branch"], ner=names)
+    number = {}
+    want = []
+    for k, text, branch in rows:
+        for tag, v in (("MOBILE", text[2:12]), ("PHONE", text[15:])):
+            own = number.setdefault((branch, tag), {})
+            text = text.replace(v, f"<{tag}_{own.setdefault(v, len(own) + 1)}>")
+        want.append(text)
+    assert [r.scrubbed for r in out.orderBy("id").collect()] == want
+    ids = {(r.branch, r.tag, r.value): r.placeholder for r in mapping(out, "id", ["branch"]).collect()}
+    assert ids == {(b, t, v): f"<{t}_{n}>" for (b, t), own in number.items() for v, n in own.items()}
+    assert seen.value == len(rows)  # texts go through detection once
+
+
+def test_length_limit_on_every_entry(spark, tmp_path):
+    df = spark.createDataFrame([("x1" * 30_000,)], "text string")
+    for found in (detect_findings(df, []), entity_counts(df), df.select(scrubbed(F.col("text")))):
+        with pytest.raises(Exception, match="TEXT_TOO_LONG"):
+            found.collect()
+    assert detect_findings(df, [], on_long="quarantine").count() == 0 and df.select(scrubbed(F.col("text"), on_long="quarantine")["scrubbed"]).first()[0] is None
+    assert detect_findings(df, [], max_chars=None).count() == 0
+
+
+def test_deadline(spark, tmp_path):
+    slow = F.pandas_udf(lambda s: (time.sleep(30), s)[1], "long")
+    with pytest.raises(DeadlineExceeded):
+        run_within(spark, lambda: spark.range(4).select(slow("id")).write.parquet(str(tmp_path / "out")), 2)
+    assert not (tmp_path / "out" / "_SUCCESS").exists()
+    assert run_within(spark, lambda: spark.range(4).count(), 60) == 4
+    with pytest.raises(ValueError):
+        run_within(spark, lambda: (_ for _ in ()).throw(ValueError()), 60)
+
+
+def test_files_from_end_to_end(spark, tmp_path):
+    table = [["姓名", "備註", "部門"], ["陳小明", "手機0912345678", "a"], ["", "K18250\n4372", "b"], ["林大華", "0912345678和K182504372"]]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/客戶0912345678.csv").write_bytes(files.write_csv(table))
+    (tmp_path / "in/b.XLSX").write_bytes(files.write_xlsx("名單", table))
+    (tmp_path / "in/c.txt").write_bytes("身分證K182504372\r\n手機0987654321".encode("big5"))
+    (tmp_path / "in/d.csv").write_text("別的\nx\n")
+    (tmp_path / "in/e.csv").write_bytes(b"\xef\xbb\xbf")
+    (tmp_path / "in/f.pdf").write_text("x")
+    (tmp_path / "in/g.txt").write_bytes(b"1" * (files.MAX_BYTES + 1))
+    (tmp_path / "in/h.txt").write_text("2" * 60_000)
+    plan = {"姓名": "mask_all", "備註": "ner", "部門": "skip"}
+    out, found, ids = scrub_files(spark, str(tmp_path / "in"), plan)
+    got = {unquote(r.path).rsplit("/", 1)[1]: r for r in out.collect()}
+    assert ids is None and {k: r.error for k, r in got.items() if r.error} == {"d.csv": "NO_STRATEGY 別的", "f.pdf": "UNSUPPORTED_TYPE", "g.txt": "FILE_TOO_LARGE", "h.txt": "TEXT_TOO_LONG"}
+    assert all((r.content is None) == (r.report is None) == (r.name is None) == (r.error is not None) for r in got.values())
+    want = [table[0], ["陳○○", "手機091****678", "a"], ["", "K1****\n**72", "b"], ["林○○", "091****678和K1******72"]]
+    one = got["客戶0912345678.csv"]
+    assert bytes(one.content) == b"\xef\xbb\xbf" + files.write_csv(want)[3:] and one.name == "客戶091xxxx678.scrubbed.csv"
+    assert files.parse_xlsx(bytes(got["b.XLSX"].content)) == ("名單", want) and got["b.XLSX"].name == "b.scrubbed.xlsx"
+    assert bytes(got["c.txt"].content).decode() == "身分證K1******72\r\n手機098****321" and bytes(got["e.csv"].content) == b"\xef\xbb\xbf"
+    report = json.loads(one.report)
+    assert report["source_filename"] == "客戶091xxxx678.csv" and report["stats"] == {"COLUMN_MASK": 2, "TW_MOBILE": 2, "TW_NATIONAL_ID": 2} and report["column_strategies"] == plan
+    assert [f["location"] for f in report["findings"]] == [{"row": r, "column": c} for r, c in [(2, "姓名"), (2, "備註"), (3, "備註"), (4, "姓名"), (4, "備註"), (4, "備註")]]
+    assert [f["location"] for f in json.loads(got["c.txt"].report)["findings"]] == [{"start": 3, "end": 13}, {"start": 17, "end": 27}]
+    assert not any(v in r.report for r in got.values() if r.report for v in ("陳小明", "K182504372", "0912345678"))
+    written = files.save_files(saved_names(out), f"file://{tmp_path}/out").collect()
+    assert {r.name for r in written} == {p.name for p in (tmp_path / "out").iterdir()} == {"客戶091xxxx678.scrubbed.csv", "b.scrubbed.xlsx", "c.scrubbed.txt", "e.scrubbed.csv"}
+    assert (tmp_path / "out/c.scrubbed.txt").read_bytes() == bytes(got["c.txt"].content)
+
+    out, found, ids = scrub_files(spark, str(tmp_path / "in"), {unquote(n): plan for n in got} | {"d.csv": {"別的": "skip"}}, "placeholder")
+    got = {unquote(r.path).rsplit("/", 1)[1]: r for r in out.collect()}
+    assert files.parse_csv(bytes(got["客戶0912345678.csv"].content).decode("utf-8-sig")) == [table[0], ["<姓名_1>", "手機<MOBILE_1>", "a"], ["", "<TW_ID_1>", "b"], ["<姓名_2>", "<MOBILE_1>和<TW_ID_1>"]]
+    assert bytes(got["c.txt"].content).decode() == "身分證<TW_ID_1>\r\n手機<MOBILE_1>" and got["d.csv"].error is None
+    assert {(r.placeholder, r.value) for r in ids.where("path LIKE '%c.txt'").collect()} == {("<TW_ID_1>", "K182504372"), ("<MOBILE_1>", "0987654321")}
+    assert found.count() == 14
+    for bad in ({"姓名": "drop"}, {"姓名": 1}):
+        with pytest.raises(ValueError):
+            scrub_files(spark, str(tmp_path / "in"), bad)
+
+
+def test_preview_of_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("x,y\n1,\n,2\n3,4\n5,6\n7,8\n".encode("utf-8-sig"))
+    texts = ["\ufeff", "one", "one\n", "a\r\nb\rc\n\nd", "\n", "a\u2028b\x85"]
+    for k, t in enumerate(texts):
+        (tmp_path / f"t{k}.txt").write_bytes(t.encode())
+    got = files.preview_files(files.read_files(spark, str(tmp_path))).collect()
+    assert [(r.name, list(r.samples), r.row_count, r.encoding) for r in sorted(got, key=lambda r: (r.path, r.col)) if r.filetype == "csv"] == [("x", ["1", "3", "5"], 5, "utf-8-sig"), ("y", ["2", "4", "6"], 5, "utf-8-sig")]
+    assert [r.row_count for r in sorted(got, key=lambda r: r.path) if r.filetype == "txt"] == [len(t.lstrip("\ufeff").splitlines()) for t in texts]
+
+
 def test_files(spark, tmp_path):
     rows = [["姓名", "編號"], ["王", "00,1\n2"], ["李", "x"]]
     (tmp_path / "a.csv").write_bytes(files.write_csv(rows))

@@ -155,5 +155,13 @@ def test_ner():
     long = "x" * 398 + "王小明" + "y"
     assert [(s.start, s.end) for s in ner.rule_ner(long, ALL)] == [(398, 401)]
     assert ner.realign("○王小明", "王小明", 0) == (1, 4)
+    sizes = []
+    find = lambda parts: sizes.append(len(parts)) or [[("PERSON", "王小明", p.index("王小明") - 1)] if "王小明" in p else [] for p in parts]
+    body = ("字" * 399 + "。") * 9 + "王小明" + "字" * 50
+    assert [(s.start, s.end) for s in ner.by_chunks(find, "x")(body, ALL)] == [(3600, 3603)] and sizes == [8, 2]
+    with pytest.raises(ValueError):
+        ner.by_chunks(lambda parts: [[("PERSON", "不在", 0)] for _ in parts], "x")("字", ALL)
+    with pytest.raises(ner.NerTimeout):
+        ner.by_chunks(lambda parts: [[] for _ in parts], "x", -1)("字", ALL)
     with pytest.raises(ValueError):
         ner.realign("王小明x王小明", "王小明", 3)

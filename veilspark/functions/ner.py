@@ -1,21 +1,25 @@
 """Named entities: the interface of a provider, chunking of long texts, and a small rule-based stand-in.
 
-A provider is called with a text and the wanted entities and returns spans. Model weights are not part of this repository;
-RuleNer knows common surnames and endings of organisations only, and is no equal of a trained model.
+A provider is called with a text and the wanted entities and returns spans. A model comes in by by_chunks(): it sees chunks in
+batches, must stay within a deadline, and every name it reports is verified against the text, so a shifted offset is put
+right or is an error, never a wrong mask. Model weights are not part of this repository; RuleNer knows common surnames and
+endings of organisations only, and is no equal of a trained model.
 """
 
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Iterator
 
 from ..plans.entities import Span
 
-CHUNK, OVERLAP, SCORE = 400, 30, 0.85
+CHUNK, OVERLAP, BATCH, SCORE = 400, 30, 8, 0.85
+SECONDS = 60.0
 _ENDS = "。！？!?\n；;"
-# Frequent surnames.
+# An own choice of frequent surnames.
 SURNAMES = "陳林黃張李王吳劉蔡楊許鄭謝郭洪曾邱廖賴周徐蘇葉莊呂江何蕭羅高"
-# What names of organisations end in.
+# An own choice of what names of organisations end in.
 ORGANISATIONS = ("股份有限公司", "有限公司", "人壽", "銀行", "醫院", "大學")
 
 
@@ -31,18 +35,37 @@ def chunks(text: str, most: int = CHUNK) -> Iterator[tuple[int, str]]:
         at = end
 
 
-def by_chunks(find: Callable[[str], list[tuple[str, int, int]]], name: str) -> Callable[[str, set[str]], list[Span]]:
-    """A provider from find(chunk) -> (entity, start, end): chunks see OVERLAP characters around them and own what starts inside."""
+class NerTimeout(RuntimeError):
+    pass
+
+
+def by_chunks(find: Callable[[list[str]], list[list[tuple[str, str, int]]]], name: str, seconds: float = SECONDS) -> Callable[[str, set[str]], list[Span]]:
+    """A provider from find(chunks) -> for each chunk (entity, value, start), ...: chunks see OVERLAP characters around them
+    and own what starts inside; BATCH chunks go to find() at once. Past `seconds` for a text, NerTimeout ends the query."""
 
     def run(text: str, wanted: set[str]) -> list[Span]:
         if not text.strip() or not wanted & {"PERSON", "ORG", "LOC"}:
             return []
-        out = []
-        for at, part in chunks(text):
-            left = max(0, at - OVERLAP)
-            for entity, s, e in find(text[left : at + len(part) + OVERLAP]):
-                if entity in wanted and at <= left + s < at + len(part):
-                    out.append(Span(entity, left + s, left + e, SCORE, name, 99))
+        until, out, parts = time.monotonic() + seconds, [], list(chunks(text))
+
+        def check() -> None:
+            if time.monotonic() > until:
+                raise NerTimeout(f"{name} took more than {seconds} s")
+
+        for k in range(0, len(parts), BATCH):
+            some = parts[k : k + BATCH]
+            check()
+            seen = [(max(0, at - OVERLAP), at + len(part) + OVERLAP) for at, part in some]
+            answers = find([text[a:b] for a, b in seen])
+            check()
+            if len(answers) != len(some):
+                raise ValueError("not an answer for each chunk")
+            for (at, part), (left, right), names in zip(some, seen, answers):
+                for entity, value, start in names:
+                    if entity in wanted:
+                        s, e = realign(text[left:right], value, start)
+                        if at <= left + s < at + len(part):
+                            out.append(Span(entity, left + s, left + e, SCORE, name, 99))
         return out
 
     return run
@@ -63,8 +86,8 @@ _PERSON = re.compile(f"(?<![一-鿿])[{SURNAMES}][一-鿿]{{2}}(?![一-鿿])")
 _ORG = re.compile("[一-鿿]{2,6}(?:" + "|".join(ORGANISATIONS) + ")")
 
 
-def _rules(text: str) -> list[tuple[str, int, int]]:
-    return [("PERSON", *m.span()) for m in _PERSON.finditer(text)] + [("ORG", *m.span()) for m in _ORG.finditer(text)]
+def _rules(parts: list[str]) -> list[list[tuple[str, str, int]]]:
+    return [[(kind, m.group(), m.start()) for kind, p in (("PERSON", _PERSON), ("ORG", _ORG)) for m in p.finditer(text)] for text in parts]
 
 
 rule_ner = by_chunks(_rules, "RuleNer")

@@ -17,10 +17,21 @@ def safe_stem(stem: Column) -> Column:
     return F.when(F.coalesce(F.trim(out), F.lit("")) == "", F.lit("file")).otherwise(out)
 
 
+def _parts(name: Column) -> tuple[Column, Column]:
+    stem, ext = F.regexp_replace(name, "\\.[^.]*$", ""), F.lower(F.regexp_extract(name, "\\.([^.]*)$", 1))
+    return safe_stem(scrubbed(stem, on_long="quarantine")["scrubbed"]), ext
+
+
 def output_name(name: Column) -> Column:
     """<masked stem>.scrubbed.<ext>"""
-    stem, ext = F.regexp_replace(name, "\\.[^.]*$", ""), F.lower(F.regexp_extract(name, "\\.([^.]*)$", 1))
-    return F.concat(safe_stem(scrubbed(stem)["scrubbed"]), F.lit(".scrubbed."), ext)
+    stem, ext = _parts(name)
+    return F.concat(stem, F.lit(".scrubbed."), ext)
+
+
+def safe_name(name: Column) -> Column:
+    """<masked stem>.<ext>, as reports name the source."""
+    stem, ext = _parts(name)
+    return F.concat(stem, F.lit("."), ext)
 
 
 def entry_name(name: Column) -> Column:

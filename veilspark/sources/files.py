@@ -1,4 +1,5 @@
-"""Files: text, CSV and XLSX in and out, archives, allow lists. Parsing runs one file a row, never on the driver."""
+"""Files: text, CSV and XLSX in and out, archives, allow lists. Parsing and writing run one file a row, never on the driver;
+a file is at most MAX_BYTES."""
 
 from __future__ import annotations
 
@@ -7,21 +8,27 @@ import csv
 import datetime
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TYPES = ("txt", "csv", "xlsx")
 MAX_BYTES = 10 << 20
 MAX_MEMBERS, MAX_UNPACKED, MAX_ROWS, MAX_COLUMNS = 2000, 100 << 20, 20_000, 500
 MAX_ENTRIES, MAX_BUNDLE = 40, 60 << 20
+_GLOB = "*.{[tT][xX][tT],[cC][sS][vV],[xX][lL][sS][xX]}"
+#: Where Python's splitlines() ends a line.
+_LINE = "(?:\\r\\n|[\\n\\r\\x0b\\f\\x1c-\\x1e\\x85\\u2028\\u2029])"
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-_ROWS = "path string, filetype string, encoding string, title string, row long, cells array<string>, error string"
+_ROWS = "path string, filetype string, encoding string, title string, row long, cells array<string>, header array<string>, error string"
 
 
 class FileError(ValueError):
@@ -131,12 +138,14 @@ def write_xlsx(title: str, rows: list[list[str]]) -> bytes:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each row of each file (a text file is one row of one cell, numbered 1), or one with an error: unsupported
-    types and files over MAX_BYTES are not opened."""
-    files = spark.read.format("binaryFile").load(path)
+    """A row for each row of each file with the header of its table (a text file is one row of one cell, numbered 1), or one
+    row with an error. Unsupported types and files over MAX_BYTES are not opened: one scan lists all files without their
+    contents, the other takes the length as a pushed filter and names by a glob. Spark's reader passes over files of no bytes."""
     kind = F.lower(F.regexp_extract("path", "\\.([^.]*)$", 1))
-    content = F.when(kind.isin(*TYPES) & (F.col("length") <= MAX_BYTES), F.col("content"))
-    rows = files.select("path", kind.alias("filetype"), F.when(~kind.isin(*TYPES), "UNSUPPORTED_TYPE").when(F.col("length") > MAX_BYTES, "FILE_TOO_LARGE").alias("error"), content.alias("content"))
+    files, no = spark.read.format("binaryFile").load(path), F.lit(None)
+    refused = files.select("path", kind.alias("filetype"), F.when(~kind.isin(*TYPES), "UNSUPPORTED_TYPE").when(F.col("length") > MAX_BYTES, "FILE_TOO_LARGE").alias("error"), no.cast("binary").alias("content")).where("error IS NOT NULL")
+    opened = spark.read.format("binaryFile").option("pathGlobFilter", _GLOB).load(path).where(F.col("length") <= MAX_BYTES)
+    rows = refused.unionByName(opened.select("path", kind.alias("filetype"), no.cast("string").alias("error"), "content"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -152,8 +161,9 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                     error, cells = str(e), []
                 if filetype != "txt" and cells and (long := [k for k, r in enumerate(cells, 1) if len(r) > len(cells[0])]):
                     error, cells = f"ROW_TOO_LONG {long[0]}", []
-                rows = [(path, filetype, encoding, title, k, r, error) for k, r in enumerate(cells, 1)] or [(path, filetype, encoding, title, None, None, error)]
-                yield pd.DataFrame(rows, columns=["path", "filetype", "encoding", "title", "row", "cells", "error"]).astype({"row": "Int64"})
+                header = cells[0] if cells and filetype != "txt" else None
+                rows = [(path, filetype, encoding, title, k, r, header, error) for k, r in enumerate(cells, 1)] or [(path, filetype, encoding, title, None, None, None, error)]
+                yield pd.DataFrame(rows, columns=["path", "filetype", "encoding", "title", "row", "cells", "header", "error"]).astype({"row": "Int64"})
 
     return rows.mapInPandas(run, _ROWS)
 
@@ -163,6 +173,47 @@ def as_table(cells: DataFrame, header: list[str]) -> DataFrame:
     return cells.where("row > 1 AND error IS NULL").select("row", *(F.get("cells", k).alias(c) for k, c in enumerate(header)))
 
 
+def preview_files(rows: DataFrame, samples: int = 3) -> DataFrame:
+    """rows: of read_files(). For each file its encoding and row_count (of a table without the header, of a text its lines),
+    and for each column of a table name and first non-empty samples; col, name and samples are null for texts."""
+    lines = F.size(F.split(F.regexp_replace(F.get("cells", 0), _LINE + "\\z", ""), _LINE, -1)) - (F.get("cells", 0) == "").cast("int")
+    text = F.col("filetype") == "txt"
+    counts = rows.groupBy("path", "filetype").agg(F.max("encoding").alias("encoding"), F.sum(F.when(text, lines).when(F.col("row") > 1, 1).otherwise(0)).cast("long").alias("row_count"), F.max("error").alias("error"))
+    heads = rows.where((F.col("row") == 1) & ~text).select("path", F.posexplode("cells").alias("col", "name"))
+    values = rows.where((F.col("row") > 1) & ~text).select("path", "row", F.posexplode("cells").alias("col", "value")).where("value <> ''")
+    first = values.withColumn("n", F.row_number().over(W.partitionBy("path", "col").orderBy("row"))).where(F.col("n") <= samples)
+    first = first.groupBy("path", "col").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]).alias("samples"))
+    columns = heads.join(first, ["path", "col"], "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
+    return counts.join(columns, "path", "left").select("path", "filetype", "encoding", "row_count", "col", "name", "samples", "error")
+
+
+def file_bytes(filetype: str, title: str | None, rows: list[list[str]]) -> bytes:
+    """A scrubbed file: text in UTF-8, CSV with byte order mark and CRLF, or a workbook of one sheet."""
+    if filetype == "txt":
+        return "".join(c for r in rows for c in r).encode()
+    return write_csv(rows) if filetype == "csv" else write_xlsx(title or "Sheet", rows)
+
+
+def save_files(files: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:
+    """Writes each row's content under its name into folder (a URI that pyarrow opens); rows without content are left out. A
+    file appears under its name once it is whole. Returns name and bytes; nothing is written before that is asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            for to, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = f"{base}/.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part, compression=None) as out:
+                    out.write(body)
+                store.move(part, f"{base}/{to}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in batch.column(1).to_pylist()], pa.int64())], names=["name", "bytes"])
+
+    return files.where(F.col(content).isNotNull()).select(F.col(name), F.col(content)).mapInArrow(run, "name string, bytes long")
+
+
 def read_allow_list(spark: SparkSession, path: str) -> list[str]:
     """Terms, one a line, without blank lines and comments. Read anew by every call; no file, no terms."""
     try:
