@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,8 +15,6 @@ _WIDE = str.maketrans("０１２３４５６７８９", "0123456789")
 _BEFORE, _AFTER = "[0-9A-Za-z@._]", "(?=[0-9A-Za-z@._])"
 _RUN = rf"(?:[ 　]|(?=[{BREAKS}]{{1,3}}(?![{BREAKS}]))[ 　]*(?:\r\n|\n|\r)[ 　]*)"
 _JOIN = re.compile(rf"(?:(?<={_BEFORE})|(?<=[0-9A-Za-z]-)){_RUN}{_AFTER}")
-#: The same for Java's regular expressions.
-JOIN_JAVA = rf"(?<={_BEFORE}|[0-9A-Za-z]-){_RUN}{_AFTER}"
 
 
 class Shadow:
@@ -47,6 +46,11 @@ def canonical_column(c: Column) -> Column:
     return F.translate(c, BREAKS, "")
 
 
-def shadow_column(c: Column) -> Column:
-    """The joined text as a column expression."""
-    return F.translate(F.regexp_replace(c, JOIN_JAVA, ""), "０１２３４５６７８９", "0123456789")
+def shadow_text(c: Column) -> Column:
+    """The joined text, as detection sees it."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([Shadow(t).text if t is not None else None for t in texts.to_pylist()], pa.string())
+
+    return run(c)

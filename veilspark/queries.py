@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ner
-from .functions.normalise import shadow_column
+from .functions.normalise import shadow_text
 from .operators.names import distinct_names, output_name
-from .operators.scrub import detect_findings, entity_counts, mapping, scrub
+from .operators.scrub import detect_findings, entity_counts, mapping, restore, scrub
 from .operators.tables import preview, scrub_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,13 +71,13 @@ def email_masked(spark, sf):
 
 @query(f"SELECT page_id, count(*) AS n, min(e) AS first_masked FROM (SELECT page_id, regexp_replace(unnest(regexp_extract_all(html, '{_LOCAL}+@{_DOMAIN}')), '^(.).*@', '\\1***@') AS e FROM pages) GROUP BY page_id")
 def email_findings(spark, sf):
-    found = detect_findings(_t(spark, sf, "pages"), ["page_id"], "html", entities=["EMAIL_ADDRESS"], join_broken=False)
+    found = detect_findings(_t(spark, sf, "pages"), ["page_id"], "html", entities=["EMAIL_ADDRESS"], join_broken=False, max_chars=None)
     return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.min("original_masked").alias("first_masked"))
 
 
 @query("SELECT doc_id, CASE WHEN contains(c, '-') THEN '****-****-****-' ELSE '************' END || right(c, 4) AS original_masked, count(*) AS n FROM " + _CARDS.replace("[T]", "documents") + " GROUP BY ALL")
 def card_findings(spark, sf):
-    return detect_findings(_t(spark, sf, "documents"), ["doc_id"], entities=["CREDIT_CARD"], join_broken=False).groupBy("doc_id", "original_masked").agg(F.count(F.lit(1)).alias("n"))
+    return detect_findings(_t(spark, sf, "documents"), ["doc_id"], entities=["CREDIT_CARD"], join_broken=False, max_chars=None).groupBy("doc_id", "original_masked").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT c_custkey, '身分證' || CASE WHEN c_custkey % 5 = 0 THEN {_ID} ELSE substr({_ID}, 1, 2) || '******' || substr({_ID}, 9, 2) END AS scrubbed FROM customer")
@@ -138,7 +138,7 @@ def address_mask(spark, sf):
 @query(f"SELECT c_custkey, {_ID} || CASE WHEN c_custkey % 3 = 2 THEN chr(10) || chr(10) ELSE '' END || {_MOBILE} AS shadow FROM customer")
 def shadow_join(spark, sf):
     text = f"substr({_ID}, 1, 6) || chr(10) || substr({_ID}, 7, 4) || (case when c_custkey % 3 = 0 then ' ' when c_custkey % 3 = 1 then ' ' || chr(10) else chr(10) || chr(10) end) || {_MOBILE}"
-    return _t(spark, sf, "customer").select("c_custkey", shadow_column(F.expr(text)).alias("shadow"))
+    return _t(spark, sf, "customer").select("c_custkey", shadow_text(F.expr(text)).alias("shadow"))
 
 
 @query(f"SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN '電話02-****' || chr(10) || '**' || substr({_padded('s_suppkey', 4)}, 3, 2) ELSE '編號02-2720' || chr(10) || {_padded('s_suppkey', 4)} || '資料' END AS scrubbed FROM supplier")
@@ -158,25 +158,84 @@ def whitelist_filter(spark, sf):
     return _masked(_t(spark, sf, "customer"), "c_custkey", f"{_ID} || '、手機' || {_MOBILE}", allow=[f"H10000007{k}" for k in range(10)])
 
 
-def _visits(spark, sf) -> DataFrame:
-    key = _MOBILE.replace("c_custkey", "o_custkey % 40")
-    return _t(spark, sf, "orders").select("o_orderkey", F.expr(f"'手機' || {key} || '與02-2720' || {_padded('o_custkey % 9', 4)}").alias("text"))
+#: Mobiles by customer: as many values as customers with orders. Every other text has its number broken over two lines.
+_VISIT = "(" + _MOBILE.replace("c_custkey", "o_custkey") + ")"
+_BROKEN = f"(case when o_orderkey % 2 = 0 then substr({_VISIT}, 1, 6) || chr(10) || substr({_VISIT}, 7, 4) else {_VISIT} end)"
 
 
-_VISITS = f"""WITH v AS (SELECT o_orderkey, {_MOBILE.replace('c_custkey', 'o_custkey % 40')} AS m, '02-2720' || {_padded('o_custkey % 9', 4)} AS p FROM orders),
+def _visits(spark, sf, number: str = _VISIT) -> DataFrame:
+    return _t(spark, sf, "orders").select("o_orderkey", F.expr("o_orderkey % 5").alias("branch"), F.expr(f"'手機' || {number} || '與02-2720' || {_padded('o_custkey % 9', 4)}").alias("text"))
+
+
+_VISITS = f"""WITH v AS (SELECT o_orderkey, o_orderkey % 5 AS branch, {_VISIT} AS m, '02-2720' || {_padded('o_custkey % 9', 4)} AS p FROM orders),
 a AS (SELECT m, row_number() OVER (ORDER BY min(o_orderkey)) AS k FROM v GROUP BY m), b AS (SELECT p, row_number() OVER (ORDER BY min(o_orderkey)) AS k FROM v GROUP BY p) """
+_NUMBERED = _VISITS + "SELECT o_orderkey, '手機<MOBILE_' || a.k || '>與<PHONE_' || b.k || '>' AS scrubbed FROM v JOIN a USING (m) JOIN b USING (p)"
 
 
-@query(_VISITS + "SELECT o_orderkey, '手機<MOBILE_' || a.k || '>與<PHONE_' || b.k || '>' AS scrubbed FROM v JOIN a USING (m) JOIN b USING (p)")
+@query(_NUMBERED)
 def placeholder_text(spark, sf):
     return scrub(_visits(spark, sf), mode="placeholder", order="o_orderkey").select("o_orderkey", "scrubbed")
 
 
+@query(_NUMBERED)
+def placeholder_of_broken_values(spark, sf):
+    """A value has one number, broken over lines or not."""
+    return scrub(_visits(spark, sf, _BROKEN), mode="placeholder", order="o_orderkey").select("o_orderkey", "scrubbed")
+
+
 @query(_VISITS + "SELECT 'MOBILE' AS tag, m AS value, '<MOBILE_' || k || '>' AS placeholder FROM a UNION ALL SELECT 'PHONE', p, '<PHONE_' || k || '>' FROM b")
 def placeholder_mapping(spark, sf):
     return mapping(scrub(_visits(spark, sf)), "o_orderkey").select("tag", "value", "placeholder")
 
 
+@query(_VISITS + """, c AS (SELECT branch, m, row_number() OVER (PARTITION BY branch ORDER BY min(o_orderkey)) AS k FROM v GROUP BY branch, m), d AS (SELECT branch, p, row_number() OVER (PARTITION BY branch ORDER BY min(o_orderkey)) AS k FROM v GROUP BY branch, p)
+SELECT o_orderkey, '手機<MOBILE_' || c.k || '>與<PHONE_' || d.k || '>' AS scrubbed FROM v JOIN c USING (branch, m) JOIN d USING (branch, p)""")
+def placeholder_scopes(spark, sf):
+    return scrub(_visits(spark, sf), mode="placeholder", order="o_orderkey", scope=["branch"]).select("o_orderkey", "scrubbed")
+
+
+@query(f"SELECT o_orderkey, '手機' || {_VISIT} || '與02-2720' || {_padded('o_custkey % 9', 4)} AS restored FROM orders")
+def placeholder_restore(spark, sf):
+    out = scrub(_visits(spark, sf), mode="placeholder", order="o_orderkey")
+    return restore(out.select("o_orderkey", "scrubbed"), "scrubbed", mapping(out, "o_orderkey")).select("o_orderkey", "restored")
+
+
+_WIDE = f"translate({_MOBILE}, '0123456789', '０１２３４５６７８９')"
+
+
+@query(f"SELECT c_custkey, '手機' || substr({_WIDE}, 1, 3) || '****' || substr({_WIDE}, 8, 3) AS scrubbed FROM customer")
+def fullwidth_mask(spark, sf):
+    return _masked(_t(spark, sf, "customer"), "c_custkey", f"'手機' || {_WIDE}")
+
+
+@query(f"SELECT c_custkey, 'call ' || substr({_MOBILE}, 1, 3) || '****' || substr({_MOBILE}, 8, 3) || ' now' AS scrubbed FROM customer")
+def second_pass(spark, sf):
+    """Numbers that are whole only in the raw text: joined, they are part of a longer run of letters."""
+    return _masked(_t(spark, sf, "customer"), "c_custkey", f"'call ' || {_MOBILE} || ' now'")
+
+
+@query(f"SELECT o_orderkey, o_orderkey % 3 <> 0 AS found, CASE o_orderkey % 3 WHEN 1 THEN 0.7 WHEN 2 THEN 0.95 END::DOUBLE AS score FROM orders")
+def policy_scores(spark, sf):
+    """Without a word nearby, digits alone are too little, and letters with digits are enough."""
+    number = _padded("o_orderkey % 100000000", 8)
+    rows = _t(spark, sf, "orders").select("o_orderkey", F.expr(f"case o_orderkey % 3 when 0 then '數9' || {number} || '9筆' when 1 then '這筆AB' || {number} || '資料' else '契約9' || {number} || '9' end").alias("text"))
+    got = scrub(rows, entities=["TW_POLICY_NO"])
+    return got.select("o_orderkey", (F.size("findings") > 0).alias("found"), F.get("findings", 0)["score"].alias("score"))
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 0.95 ELSE 0.75 END::DOUBLE AS score, '*********' || substr({_ACCOUNT}, 10, 4) AS original_masked FROM orders")
+def account_scores(spark, sf):
+    rows = _t(spark, sf, "orders").select("o_orderkey", F.expr(f"(case when o_orderkey % 2 = 0 then '匯款' else '編號' end) || {_ACCOUNT}").alias("text"))
+    return detect_findings(rows, ["o_orderkey"]).select("o_orderkey", "score", "original_masked")
+
+
+@query()
+def documents_default(spark, sf):
+    """Findings of every text as it comes: all entities, broken values joined, too long texts set apart."""
+    out = scrub(_t(spark, sf, "documents"), on_long="quarantine")
+    return out.select("doc_id", F.size("findings").cast("long").alias("n_findings"), F.length("scrubbed").cast("long").alias("n_chars_scrubbed"), "error")
+
+
 def _customers(spark, sf) -> DataFrame:
     return _t(spark, sf, "customer").select((F.col("c_custkey") + 2).alias("row"), F.col("c_name").alias("name"), F.expr(f"'聯絡手機' || {_MOBILE}").alias("note"), F.col("c_mktsegment").alias("segment"))
 
@@ -206,12 +265,12 @@ def _stats(by: str) -> str:
 
 @query(_stats(""))
 def entity_stats(spark, sf):
-    return entity_counts(_t(spark, sf, "documents"), entities=["EMAIL_ADDRESS", "CREDIT_CARD"], join_broken=False)
+    return entity_counts(_t(spark, sf, "documents"), entities=["EMAIL_ADDRESS", "CREDIT_CARD"], join_broken=False, max_chars=None)
 
 
 @query(_stats("source, lang, "))
 def entity_stats_by_source(spark, sf):
-    return entity_counts(_t(spark, sf, "documents"), ["source", "lang"], entities=["EMAIL_ADDRESS", "CREDIT_CARD"], join_broken=False)
+    return entity_counts(_t(spark, sf, "documents"), ["source", "lang"], entities=["EMAIL_ADDRESS", "CREDIT_CARD"], join_broken=False, max_chars=None)
 
 
 @query(f"SELECT conv_id, turn, regexp_replace(text, '({_LOCAL}){_LOCAL}*@({_DOMAIN})', '\\1***@\\2', 'g') AS scrubbed FROM conversations")
@@ -237,7 +296,12 @@ def preview_samples(spark, sf):
     return preview(rows, "c_custkey").select("name", F.posexplode("samples").alias("place", "sample"), "row_count").withColumn("place", F.col("place").cast("long"))
 
 
-@query()
+_CUT = "CASE WHEN length(rest) <= 400 THEN length(rest) ELSE coalesce(nullif(length(regexp_extract(left(rest, 400), '(?s)^.*[。！？!?\n；;]')), 0), 400) END"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT doc_id, 0::BIGINT AS start, {_CUT.replace('rest', 'text')} AS n, text AS rest FROM documents WHERE text <> ''
+UNION ALL SELECT doc_id, start + n, {_CUT.replace('rest', 'substr(rest, n + 1)')}, substr(rest, n + 1) FROM c WHERE length(rest) > n)
+SELECT doc_id, start, n::BIGINT AS length FROM c""")
 def ner_chunks(spark, sf):
     """Offset and length of the chunks that a provider of names sees."""
 
