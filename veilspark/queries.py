@@ -17,6 +17,7 @@ from .functions.normalise import shadow_text
 from .operators.names import distinct_names, output_name
 from .operators.scrub import detect_findings, entity_counts, mapping, restore, scrub
 from .operators.tables import preview, scrub_table
+from .sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,8 +33,7 @@ def query(sql: str | None = None):
     return add
 
 
-def _t(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{table}.parquet")
+_t = read_table
 
 
 def _masked(df: DataFrame, key: str, text: str, entities: list[str] | None = None, **options) -> DataFrame:
