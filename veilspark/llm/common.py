@@ -1,4 +1,4 @@
-"""Reading tables, and results that are written once to the folder all machines share."""
+"""Results that are written once to the folder all machines share."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read_table as read
+
 #: Bytes of an Arrow batch: executors hold one for each task, their Python workers some copies of its parts.
 BATCH_BYTES = "8m"
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -40,10 +42,6 @@ def tidy(run: _Run) -> _Run:
     return whole
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
 def own_columns(df: DataFrame) -> list[Column]:
     """The columns of df, whatever their names."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
