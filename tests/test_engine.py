@@ -15,8 +15,9 @@ from veilspark.operators.file_scrub import saved_names, scrub_files
 from veilspark.operators.scrub import detect_findings, entity_counts, mapping, restore, scrub, scrubbed
 from veilspark.operators.tables import preview, report, scrub_table
 from veilspark.plans.control import DeadlineExceeded, run_within
+from veilspark.plans.entities import rule
 from veilspark.sources import files
-from veilspark.streaming.scrub_stream import scrub_stream
+from veilspark.streaming.scrub_stream import entity_counts_by_window, scrub_stream
 
 TEXTS = ["身分證K182504372,手機0912345678", "K18250\n4372再次出現", "另一位F270000018", "無", "", None]
 
@@ -101,6 +102,53 @@ def test_table_rows_keep_to_themselves(spark):
     assert none.count() == 0
 
 
+def test_column_numbers_skip_those_of_findings(spark):
+    df = spark.createDataFrame([(2, "手機0912345678和0987654321", "甲"), (3, "0912345678", "乙"), (4, "", "甲")], "row int, note string, `MOBILE` string")
+    out, _, ids = scrub_table(df, {"note": "ner", "MOBILE": "mask_all"}, "row", "placeholder")
+    assert [tuple(r) for r in out.orderBy("row").collect()] == [(2, "手機<MOBILE_1>和<MOBILE_2>", "<MOBILE_3>"), (3, "<MOBILE_1>", "<MOBILE_4>"), (4, "", "<MOBILE_3>")]
+    assert ids.count() == ids.select("placeholder").distinct().count() == 4
+
+
+def test_limits_of_workbooks_and_archives(monkeypatch):
+    book = files.write_xlsx("t", [["a", "b"], ["1", "2"], ["3", "4"]])
+    assert files.parse_xlsx(book)[1][2] == ["3", "4"]
+    for name, most, error in (("MAX_ROWS", 2, "TOO_MANY_ROWS"), ("MAX_COLUMNS", 1, "TOO_MANY_COLUMNS"), ("MAX_MEMBERS", 3, "TOO_LARGE"), ("MAX_UNPACKED", 100, "TOO_LARGE")):
+        with monkeypatch.context() as m:
+            m.setattr(files, name, most)
+            with pytest.raises(files.FileError, match=error):
+                files.parse_xlsx(book)
+    one = base64.b64encode(b"x" * 90).decode()
+    for name, most in (("MAX_ENTRIES", 1), ("MAX_BUNDLE", 100)):
+        with monkeypatch.context() as m:
+            m.setattr(files, name, most)
+            with pytest.raises(files.FileError, match="BUNDLE"):
+                files.bundle([("a", one), ("b", one)])
+    assert files.bundle([("a", one), ("b", one)])[0].endswith(".zip")
+
+
+def test_previews_keep_few_rows_before_the_shuffle(spark):
+    df = spark.range(1000).selectExpr("cast(id as int) as row", "cast(id as string) as a").repartition(3)
+    assert "WindowGroupLimit" in preview(df, "row")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_more_rules_in_a_query(spark):
+    ticket = rule("TICKET", "Ticket", r"T-[a-z]{4}", 0.9)
+    df = spark.createDataFrame([(1, "票T-abcd"), (2, None)], "id int, text string")
+    assert [r.scrubbed for r in scrub(df, extra=[ticket]).orderBy("id").collect()] == ["票******", None]
+    assert scrub(df, mode="placeholder", order="id", extra=[ticket]).where("id = 1").first().scrubbed == "票<TICKET_1>"
+
+
+def test_counts_by_window_on_a_stream(spark, tmp_path):
+    spark.createDataFrame([("2024-01-01 00:01:00", "手機0912345678"), ("2024-01-01 00:02:00", "0987654321"), ("2024-01-01 01:00:00", "x")], "ts string, text string").select(F.col("ts").cast("timestamp").alias("ts"), "text").write.parquet(str(tmp_path / "in"))
+    stream = entity_counts_by_window(spark.readStream.schema("ts timestamp, text string").parquet(str(tmp_path / "in")), "ts")
+    q = stream.writeStream.format("memory").outputMode("complete").queryName("windows").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert [(r.entity_type, r.n) for r in spark.table("windows").collect()] == [("TW_MOBILE", 2)]
+
+
 def test_numbers_run_on_over_ranges(spark):
     rows = [(k, f"手機09{(k * 7919) % 500:08d},電話02-2720{k % 30:04d}", k % 3) for k in range(1500)]
     df = spark.createDataFrame(rows, "id int, text string, branch int").repartition(5)
