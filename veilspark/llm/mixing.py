@@ -6,8 +6,8 @@ shuffle, so a hot source costs no more), then only the bucket on the boundary is
 times. Nothing is sorted but the few rows of a histogram.
 
 Defined results: null texts have size 0; a null source is one source, the last; rows that repeat doc_id and text share a
-hash, hence a decision: a group of them larger than what is left of its source's target is left out as a whole, so up to
-the group's words may then be missing from the target; without words all targets are 0; an empty table gives no rows; other columns are not read.
+hash, hence a decision: a group of them that goes over what is left of its source's target is left out as a whole, and the
+documents after it take its place as far as they can; without words all targets are 0; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -59,8 +59,8 @@ def thresholds(sized: DataFrame, target_of=targets) -> DataFrame:
     goals = goals.withColumn("_left", F.col("target") - F.col("_times") * F.col("source_size"))
     more = F.lit(False)
     for k in range(ROUNDS):
-        goals = _thresholds(_named(rows, goals, k).where(~more) if k else rows, goals, k)
-        more = more | ((F.col("_h") < F.col(f"_path{k}")) & (F.col("size") <= F.col(f"_most{k}")))
+        goals = _thresholds(_named(rows, goals).where(~more & _beyond(k)) if k else rows, goals, k)
+        more = more | _taken(k, "size")
     return goals.withColumnRenamed("source", "_s")
 
 
@@ -68,7 +68,7 @@ def mixed(sized: DataFrame, goals: DataFrame) -> DataFrame:
     """Adds source_size, target and times, how often the mix takes each row."""
     more = F.lit(False)
     for k in range(ROUNDS):
-        more = more | ((F.col("_h") < F.col(f"_path{k}")) & (F.col("_size") <= F.col(f"_most{k}")))
+        more = more | _taken(k, "_size")
     out = sized.join(goals, F.col("_source").eqNullSafe(F.col("_s"))).withColumn("times", (F.col("_times") + more.cast("long")).cast("long"))
     return out.select(*sized.columns, "source_size", "target", "times")
 
@@ -89,7 +89,21 @@ def repeat_by_mix(docs: DataFrame, target_of=targets) -> DataFrame:
     return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
-def _named(rows: DataFrame, goals: DataFrame, k: int) -> DataFrame:
+def _beyond(k: int) -> Column:
+    """Not on the thresholds of the rounds before k: what went over there (one hash, so one row or rows that repeat) would go
+    over again, and end the round where it begins."""
+    out = F.lit(True)
+    for j in range(k):
+        out = out & (F.col("_h") != F.col(f"_path{j}"))
+    return out
+
+
+def _taken(k: int, size: str) -> Column:
+    """Whether round k takes a row once more."""
+    return (F.col("_h") < F.col(f"_path{k}")) & (F.col(size) <= F.col(f"_most{k}")) & _beyond(k)
+
+
+def _named(rows: DataFrame, goals: DataFrame) -> DataFrame:
     return rows.join(goals.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
 
 
