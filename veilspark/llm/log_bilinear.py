@@ -294,7 +294,7 @@ def triples(training: DataFrame, learned: Learned) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _words(key, sent)
         for batch in batches:
-            for _, _, data, offsets in K.blocks(batch.column(0), 4 * K.BLOCK_BYTES):
+            for _, _, data, offsets in K.blocks(batch.column(0), 8 * K.BLOCK_BYTES):
                 h, ending, first = _hashed(data, offsets)
                 tokens, ends = _with_ends(known.tokens(known.index.find(h), ending), first)
                 two, one = _before(tokens, ends)
@@ -387,7 +387,7 @@ def score_texts(docs: DataFrame, learned: Learned | None = None) -> DataFrame:
 
         known, row0 = _words(key, sent), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for a, b, data, offsets in K.blocks(batch.column(2), 2 * K.BLOCK_BYTES):
+            for a, b, data, offsets in K.blocks(batch.column(2), 4 * K.BLOCK_BYTES):
                 h, ending, first = _hashed(data, offsets)
                 slot = known.index.find(h)
                 plain = known.tokens(slot, ending)

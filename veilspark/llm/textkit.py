@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -35,7 +35,7 @@ def _power(n: int, kind: str) -> np.ndarray:
         grown = np.full(max(n, 2 * BLOCK_BYTES), _STEP if kind == "up" else _BACK, np.uint64)
         grown[0] = 1
         have = np.multiply.accumulate(grown)
-        if n <= 4 * BLOCK_BYTES:
+        if n <= 8 * BLOCK_BYTES:
             _powers[kind] = have
     return have
 
