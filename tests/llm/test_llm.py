@@ -239,7 +239,20 @@ def test_quality_rules(docs, empty):
         r = rows[d]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(t.count(x) for x in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered))
         assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and not (r.base_failed and r.kept)
+        assert r.kept == (not r.base_failed and _good(t, w, lines))
     assert quality_rules.apply_rules(empty).count() == 0
+    # the table of rules over a text of another name
+    other = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t2")).withColumn("own", quality_rules.measures("t2")).select("doc_id", quality_rules.verdict("t2", "own").alias("good"))
+    assert all(r.good == _good(t, [x.decode() for x in t.encode().split()], [x for x in t.split("\n") if x.encode().split()]) for r in other.where("doc_id IS NOT NULL").collect() for t in [TEXTS[r.doc_id] or ""] if t.encode().split())
+
+
+def _good(text, words, lines):
+    """The threshold table, by plain Python, for texts with words."""
+    n, chars = len(words), sum(map(len, words))
+    capitals, marks = sum("A" <= c <= "Z" for c in text), sum(c in "!?" for c in text)
+    stop = sum(w.lower() in quality_rules.STOP_WORDS for w in words)
+    ok = 1.5 <= chars / n <= 15 and max(map(len, words)) <= 1000 and sum(c in "#*$%&|<>" for c in text) / n <= 0.2 and marks / n <= 0.5
+    return ok and (n < 50 or stop / n >= 0.02) and capitals / chars <= 0.6 and (len(lines) - len(set(lines))) / len(lines) <= 0.5
 
 
 def test_token_files(spark, docs, empty):

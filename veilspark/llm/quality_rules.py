@@ -44,19 +44,20 @@ RATIOS = {
     "mean_word_length": "try_divide(m.word_chars, m.n_words)",
     "longest_word": "m.longest",
     "symbols_per_word": "try_divide(m.n_symbols, m.n_words)",
-    "marks_per_word": "try_divide((length(t) - length(translate(t, '!?', ''))), m.n_words)",
+    "marks_per_word": "try_divide(length(regexp_replace(t, '[^!?]+', '')), m.n_words)",
     "stop_word_share": "try_divide(m.n_stop, m.n_words)",
-    "capitals_share": "try_divide((length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))), m.word_chars)",
+    "capitals_share": "try_divide(length(regexp_replace(t, '[^A-Z]+', '')), m.word_chars)",
     "duplicate_line_share": "try_divide(m.n_dup_lines, m.n_lines)",
 }
 
-_BLANKS = "'\t\n\x0b\x0c\r'"
+_BLANK, _OTHER = "'[ \t-\r]+'", "'[^ \t-\r]'"
+# sort_array, not array_sort: that one compares by an interpreted lambda
 _REPEATS = """
 transform(array(transform(sequence(1, size(w) - 7), i -> xxhash64(slice(w, i, 8)))), hs ->
   if(size(array_distinct(hs)) = size(hs), 0,
-    transform(array(array_sort(transform(hs, (h, i) -> struct(h AS h, i AS i)))), s ->
+    transform(array(sort_array(transform(hs, (h, i) -> struct(h AS h, i AS i)))), s ->
       aggregate(
-        array_sort(transform(filter(s, (x, j) -> coalesce(get(s, j - 1).h = x.h, false) OR coalesce(get(s, j + 1).h = x.h, false)), x -> x.i)),
+        sort_array(transform(filter(s, (x, j) -> coalesce(get(s, j - 1).h = x.h, false) OR coalesce(get(s, j + 1).h = x.h, false)), x -> x.i)),
         struct(0 AS c, -8 AS last), (a, x) -> struct(a.c + least(8, x - a.last) AS c, x AS last), a -> a.c))[0]))[0]
 """
 
@@ -66,12 +67,12 @@ def measures(text: str) -> Column:
     stop = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
     return F.expr(f"""
 transform(array(coalesce({text}, '')), t ->
-  transform(array(array_remove(split(translate(t, {_BLANKS}, '     '), ' '), '')), w ->
-    transform(array(filter(split(t, '\\n'), l -> length(btrim(translate(l, {_BLANKS}, '     '))) > 0)), ls ->
+  transform(array(array_remove(split(t, {_BLANK}), '')), w ->
+    transform(array(filter(split(t, '\\n'), l -> l RLIKE {_OTHER})), ls ->
       struct(
         cast(size(w) AS bigint) AS n_words,
-        cast(length(translate(t, concat(' ', {_BLANKS}), '')) AS bigint) AS word_chars,
-        cast(length(t) - length(translate(t, '#*$%&|<>', '')) AS bigint) AS n_symbols,
+        cast(length(array_join(w, '')) AS bigint) AS word_chars,
+        cast(length(regexp_replace(t, '[^#*$%&|<>]+', '')) AS bigint) AS n_symbols,
         cast(size(ls) AS bigint) AS n_lines,
         cast(size(ls) - size(array_distinct(ls)) AS bigint) AS n_dup_lines,
         cast(if(size(w) < 8, 0, {_REPEATS}) AS bigint) AS n_repeat_words,
@@ -83,7 +84,7 @@ transform(array(coalesce({text}, '')), t ->
 def verdict(text: str, m: str = "m", rules: tuple[Rule, ...] = RULES) -> Column:
     parts = ["true"]
     for r in rules:
-        ratio = RATIOS[r.ratio].replace("m.", f"{m}.").replace("(t", f"({text}")
+        ratio = RATIOS[r.ratio].replace("m.", f"{m}.").replace("(t,", f"({text},")
         bounds = [f"{ratio} >= {r.least}D"] * (r.least is not None) + [f"{ratio} <= {r.most}D"] * (r.most is not None)
         parts.append(f"({m}.n_words < {max(1, r.from_words)} OR ({' AND '.join(bounds)}))")
     return F.expr(" AND ".join(parts))
