@@ -28,6 +28,8 @@ _GLOB = "*.{[tT][xX][tT],[cC][sS][vV],[xX][lL][sS][xX]}"
 _LINE = "(?:\\r\\n|[\\n\\r\\x0b\\f\\x1c-\\x1e\\x85\\u2028\\u2029])"
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+#: Characters that XML, hence a workbook, cannot hold.
+_NOT_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff\ufffe\uffff]")
 _ROWS = "path string, filetype string, encoding string, title string, row long, cells array<string>, header array<string>, error string"
 
 
@@ -117,6 +119,8 @@ def write_csv(rows: list[list[str]]) -> bytes:
 
 
 def write_xlsx(title: str, rows: list[list[str]]) -> bytes:
+    if any(_NOT_XML.search(v) for cells in rows for v in cells if v):
+        raise FileError("CELL_NOT_XML")
     root = ET.Element("worksheet", xmlns=_NS[1:-1])
     data = ET.SubElement(root, "sheetData")
     for r, cells in enumerate(rows, 1):
@@ -132,7 +136,7 @@ def write_xlsx(title: str, rows: list[list[str]]) -> bytes:
     types = f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>'
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, body in (("[Content_Types].xml", types), ("_rels/.rels", rel("officeDocument", "xl/workbook.xml")), ("xl/workbook.xml", ET.tostring(book)), ("xl/_rels/workbook.xml.rels", rel("worksheet", "worksheets/sheet1.xml")), ("xl/worksheets/sheet1.xml", ET.tostring(root))):
+        for name, body in (("[Content_Types].xml", types), ("_rels/.rels", rel("officeDocument", "xl/workbook.xml")), ("xl/workbook.xml", ET.tostring(book)), ("xl/_rels/workbook.xml.rels", rel("worksheet", "worksheets/sheet1.xml")), ("xl/worksheets/sheet1.xml", ET.tostring(root).replace(b"\r", b"&#13;"))):
             z.writestr(name, body)
     return buffer.getvalue()
 
