@@ -165,3 +165,17 @@ def test_ner():
         ner.by_chunks(lambda parts: [[] for _ in parts], "x", -1)("字", ALL)
     with pytest.raises(ValueError):
         ner.realign("王小明x王小明", "王小明", 3)
+
+
+def test_a_batch_of_texts_is_looked_through_in_one_go(monkeypatch):
+    from veilspark.functions import detect as kernel
+
+    parts = ["0912345678", "09123\n45678", "０９１２３４５６７８", "0912-345-678", "02-2720 1234", "02-2720\n0001", "電話", "保單", "帳號", "生日", "統編", "A123456789", "K182504372", "K18250\n4372", "12345675", "0800101", "1234567890123", "4111111111111111", "a.b@c.tw", "代號:123", "台北市信義路四段5號", "\0", " ", "　", "\r\n", "-", "x", "號", "。"]
+    rng = random.Random(7)
+    texts = [None, "", "x" * 600 + "手機0912345678"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    for allow, join_broken, wanted in (([], True, ALL), (["0912345678", "號"], True, ALL), ([], False, ALL), ([], True, {"TW_MOBILE", "TW_UBN"})):
+        assert kernel.detect_all(texts, wanted, allow, join_broken) == [detect(t, wanted, allow, join_broken) if t is not None else [] for t in texts]
+    looks = []
+    monkeypatch.setattr(kernel, "look", lambda t, look=kernel.look: (looks.append(1), look(t))[1])
+    kernel.detect_all([f"手機09{k:08d}" for k in range(1000)], ALL)
+    assert len(looks) < 5

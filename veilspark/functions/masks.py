@@ -2,43 +2,35 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _hide(value: str, counts: Callable[[str], bool], hidden: Callable[[int, int], bool]) -> str:
-    """'*' for each counted character whose number (from 0) and the total say so."""
-    total, out, k = sum(map(counts, value)), [], 0
-    for c in value:
-        if counts(c):
-            out.append("*" if hidden(k, total) else c)
-            k += 1
-        else:
-            out.append(c)
+def _hide(value: str, counted: Callable[[str], bool], hidden: Callable[[int], slice]) -> str:
+    """'*' for the counted characters that `hidden` gives, from their number."""
+    out = list(value)
+    places = range(len(out)) if counted(value) else [k for k, c in enumerate(out) if counted(c)]
+    for k in places[hidden(len(places))]:
+        out[k] = "*"
     return "".join(out)
 
 
-def _digit(c: str) -> bool:
-    return unicodedata.decimal(c, None) is not None
-
-
 def keep_first(v: str) -> str:
     return v[:1] + "○" * (len(v) - 1)
 
 
 def keep_ends(v: str, head: int = 2, tail: int = 2) -> str:
-    return _hide(v, str.isalnum, lambda k, n: n <= head + tail or head <= k < n - tail)
+    return _hide(v, str.isalnum, lambda n: slice(0, n) if n <= head + tail else slice(head, n - tail))
 
 
 def mobile(v: str) -> str:
-    return _hide(v, _digit, lambda k, n: 3 < k + 1 < 8) if sum(map(_digit, v)) == 10 else keep_ends(v)
+    return _hide(v, str.isdecimal, lambda n: slice(3, 7)) if sum(map(str.isdecimal, v)) == 10 else keep_ends(v)
 
 
 def landline(v: str) -> str:
-    return _hide(v, _digit, lambda k, n: 2 <= k < n - 2)
+    return _hide(v, str.isdecimal, lambda n: slice(2, max(2, n - 2)))
 
 
 def email(v: str) -> str:
@@ -47,15 +39,15 @@ def email(v: str) -> str:
 
 
 def birthday(v: str) -> str:
-    return _hide(v, _digit, lambda k, n: k >= n - 4)
+    return _hide(v, str.isdecimal, lambda n: slice(max(0, n - 4), n))
 
 
 def keep_last_four(v: str) -> str:
-    return _hide(v, _digit, lambda k, n: k < n - 4)
+    return _hide(v, str.isdecimal, lambda n: slice(0, max(0, n - 4)))
 
 
 def digits(v: str) -> str:
-    return _hide(v, _digit, lambda k, n: True)
+    return _hide(v, str.isdecimal, lambda n: slice(0, n))
 
 
 MASKS: dict[str, Callable[[str], str]] = {

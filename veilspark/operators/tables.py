@@ -59,7 +59,7 @@ def scrub_table(df: DataFrame, strategies: dict[str, str], row: str, mode: str =
             cells.append(F.when(own(c) != "", one))
     none = F.array().cast("array<struct<col:int,column:string,finding:int,entity_type:string,original_masked:string,replacement:string,score:double,recognizer:string>>")
     found = F.concat(*(F.coalesce(x, none) for x in cells)) if cells else none
-    findings = base.select(*scope, F.col(f"`{row}`"), F.explode(found).alias("f")).select(*scope, F.col(f"`{row}`"), "f.*").orderBy(*scope, F.col(f"`{row}`"), "col", "finding")
+    findings = base.select(*scope, F.col(f"`{row}`"), F.explode_outer(found).alias("f")).where("f IS NOT NULL").select(*scope, F.col(f"`{row}`"), "f.*").orderBy(*scope, F.col(f"`{row}`"), "col", "finding")
     new = {c: F.when(own(c).isNotNull(), F.col(f"_ner{k}.scrubbed")) for k, c in enumerate(named)} | {c: F.when(own(c) == "", own(c)).otherwise(F.col(f"_all{k}")) for k, c in enumerate(whole)}
     return base.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in df.columns)), findings, ids
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import datetime
 import re
-import unicodedata
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -69,6 +68,7 @@ class Rule(NamedTuple):
     judge: Callable[[str, bool], float | None]
     may: Callable[[Look], bool]
     context: tuple[str, ...]
+    weak: bool = False  # below THRESHOLD without a word nearby
 
 
 _DIGITS = re.compile(r"\d+")
@@ -80,7 +80,7 @@ def look(text: str) -> Look:
 
 
 def _digits(value: str) -> list[int]:
-    return [unicodedata.decimal(c) for c in value if unicodedata.decimal(c, None) is not None]
+    return [int(c) for c in value if c.isdecimal()]
 
 
 def national_id_ok(value: str) -> bool:
@@ -109,9 +109,9 @@ def minguo_date_ok(value: str) -> bool:
     return True
 
 
-def rule(entity: str, name: str, pattern: str, judge: Callable[[str, bool], float | None] | float, may: Callable[[Look], bool] = lambda t: True, context: tuple[str, ...] = ()) -> Rule:
+def rule(entity: str, name: str, pattern: str, judge: Callable[[str, bool], float | None] | float, may: Callable[[Look], bool] = lambda t: True, context: tuple[str, ...] = (), weak: bool = False) -> Rule:
     """judge: a score, or a function of the match and of whether a word of `context` is near."""
-    return Rule(entity, name, re.compile(pattern), judge if callable(judge) else lambda v, c: judge, may, context or CONTEXT.get(entity, ()))
+    return Rule(entity, name, re.compile(pattern), judge if callable(judge) else lambda v, c: judge, may, context or CONTEXT.get(entity, ()), weak)
 
 
 def _run(n: int) -> Callable[[Look], bool]:
@@ -144,12 +144,12 @@ RULES: tuple[Rule, ...] = (
     rule("TW_MOBILE", "Mobile", _alone(r"09\d{8}"), 0.85, _run(10)),
     rule("TW_MOBILE", "Mobile", _alone(r"09\d\d-\d{3}-?\d{3}", "0-9A-Za-z-", "0-9A-Za-z-"), 0.85, lambda t: t.digits >= 10 and "-" in t.text),
     rule("TW_PHONE", "Landline", _alone(rf"(?:\(0[2-8]\d{{0,2}}\)|0[2-8]\d{{0,2}}{_GAP})\d{{2,4}}{_GAP}?\d{{4}}", "0-9A-Za-z(-"), 0.75, _all(8)),
-    rule("TW_PHONE", "LandlineBare", _alone(r"0[2-8]\d{7,8}", "0-9A-Za-z(-", "0-9"), 0.45, _run(9)),
-    rule("TW_UBN", "BusinessNumber", _alone(r"\d{8}"), lambda v, c: (0.95 if c else 0.45) if business_number_ok(v) else (0.1 if c else None), _run(8)),
+    rule("TW_PHONE", "LandlineBare", _alone(r"0[2-8]\d{7,8}", "0-9A-Za-z(-", "0-9"), 0.45, _run(9), weak=True),
+    rule("TW_UBN", "BusinessNumber", _alone(r"\d{8}"), lambda v, c: (0.95 if c else 0.45) if business_number_ok(v) else (0.1 if c else None), _run(8), weak=True),
     rule("EMAIL_ADDRESS", "Email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])", 1.0, _has("@")),
-    rule("BIRTHDAY", "MinguoBirthday", r"(?<!\d)(?:1[0-2]\d|0[1-9]|[1-9]\d)\d{4}(?!\d)", lambda v, c: (0.95 if c else 0.45) if minguo_date_ok(v) else None, _run(6)),
+    rule("BIRTHDAY", "MinguoBirthday", r"(?<!\d)(?:1[0-2]\d|0[1-9]|[1-9]\d)\d{4}(?!\d)", lambda v, c: (0.95 if c else 0.45) if minguo_date_ok(v) else None, _run(6), weak=True),
     rule("TW_POLICY_NO", "PolicyNumber", _alone(r"[A-Z]{2}\d{8}|[A-Z]{3}\d{7}|[A-Z]{4}\d{6}|[A-Z]{5}\d{5}"), lambda v, c: 0.95 if c else 0.7, _run(5)),
-    rule("TW_POLICY_NO", "PolicyNumber", _alone(r"\d{10}"), lambda v, c: 0.95 if c else 0.45, _run(10)),
+    rule("TW_POLICY_NO", "PolicyNumber", _alone(r"\d{10}"), lambda v, c: 0.95 if c else 0.45, _run(10), weak=True),
     rule("CREDIT_CARD", "PaymentCard", _alone(r"\d{16}|\d{4}-\d{4}-\d{4}-\d{4}", "0-9A-Za-z-", "0-9A-Za-z-"), lambda v, c: 0.95 if luhn_ok(v) else 0.1, _all(16)),
     rule("AGENT_CODE", "AgentCode", r"代號[:：]?\s?\d{2,3}(?!\d)", 0.9, _has("代號")),
     rule("TW_BANK_ACCOUNT", "BankAccount", _alone(r"\d{13,14}"), lambda v, c: 0.95 if c else 0.75, _run(13)),
