@@ -288,4 +288,24 @@ def test_texts_of_findings_go_through_detection_once(spark, tmp_path):
     out = detect_findings(df, ["id"])
     assert calls(out) == calls(entity_counts(df)) == calls(scrub_table(df, {"text": "ner"}, "id")[1]) == 1
     assert sorted((r.id, r.finding) for r in out.collect()) == [(k, 0) for k in range(1, 9, 2)]
-    assert mapping(scrub(df), "id").count() == 4
+    from veilspark.operators.scrub import _values
+
+    assert calls(_values(scrub(df), "id", [])) == 1 and mapping(scrub(df), "id").count() == 4
+
+
+def test_integer_orders_are_numbered_without_sorting_all_findings(spark):
+    from veilspark.operators.scrub import _values
+
+    keys = [0, None, 2**63 - 1, -1, -(2**63), 7, 7]
+    rows = [(o, f"手機09{k:08d}與09{10 + k // 2:08d}") for k, o in enumerate(keys)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    seen = scrub(df)
+    assert "SortAggregate" not in _values(seen, "id", []).groupBy("tag", "value").agg(F.min("_first"))._jdf.queryExecution().executedPlan().toString()
+    want: dict = {}
+    # of the two rows of equal order, the values at the same place are numbered by value
+    both = ["0900000005", "0900000006", "0900000012", "0900000013"]
+    for values in ([f"09{k:08d}", f"09{10 + k // 2:08d}"] if k < 5 else both for k in (1, 4, 3, 0, 5, 2)):
+        for v in values:
+            want.setdefault(v, f"<MOBILE_{len(want) + 1}>")
+    by_number = {r.value: r.placeholder for r in mapping(seen, "id").collect()}
+    assert by_number == want == {r.value: r.placeholder for r in mapping(scrub(df.withColumn("id", F.col("id").cast("decimal(20,0)"))), "id").collect()}
