@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veilspark.operators.names import distinct_names, output_name
 from veilspark.operators.file_scrub import saved_names, scrub_files
-from veilspark.operators.scrub import detect_findings, entity_counts, mapping, restore, scrub, scrubbed
+from veilspark.operators.scrub import detect_findings, entity_counts, mapping, restore, scrub, scrubbed, scrubbed_with_mapping
 from veilspark.operators.tables import preview, report, scrub_table
 from veilspark.plans.control import DeadlineExceeded, run_within
 from veilspark.plans.entities import rule
@@ -309,3 +309,11 @@ def test_integer_orders_are_numbered_without_sorting_all_findings(spark):
             want.setdefault(v, f"<MOBILE_{len(want) + 1}>")
     by_number = {r.value: r.placeholder for r in mapping(seen, "id").collect()}
     assert by_number == want == {r.value: r.placeholder for r in mapping(scrub(df.withColumn("id", F.col("id").cast("decimal(20,0)"))), "id").collect()}
+
+def test_restore_shuffles_no_columns_with_its_parts(spark):
+    out, ids = scrubbed_with_mapping(_df(spark), mode="placeholder", order="id")
+    assert sorted(map(tuple, ids.collect())) == sorted(map(tuple, mapping(out, "id").collect()))
+    kept = out.where("scrubbed is not null").select("id", "scrubbed", F.create_map(F.lit("k"), F.col("id")).alias("more"))
+    back = restore(kept, "scrubbed", ids)
+    assert back.columns == ["id", "scrubbed", "more", "restored"]
+    assert {r.id: (r.more, r.restored) for r in back.collect()} == {k: ({"k": k}, t.replace("\n", "")) for k, t in enumerate(TEXTS) if t is not None}

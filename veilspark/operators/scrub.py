@@ -215,9 +215,13 @@ def entity_counts(df: DataFrame, by: list[str] = (), text: str = "text", **optio
 
 
 def restore(scrubbed_df: DataFrame, text: str, ids: DataFrame) -> DataFrame:
-    """Puts the values of a mapping back in place of placeholders (one scope)."""
+    """Puts the values of a mapping back in place of placeholders (one scope). What follows the last placeholder of a text
+    carries the row's columns, and has a key of its own in the join, which thus deals these parts over all tasks."""
     parts = scrubbed_df.withColumn("_id", F.monotonically_increasing_id()).select("*", F.posexplode(F.regexp_extract_all(F.concat(F.col(text), F.lit("<>")), F.lit("(?s)(.*?)(<[A-Z_]+_[0-9]+>|<>\\z)"), F.lit(0))).alias("_k", "_part"))
     parts = parts.withColumns({"_p": F.regexp_extract("_part", "(<[A-Z_]*_?[0-9]*>)\\z", 1), "_t": F.regexp_replace("_part", "<[A-Z_]*_?[0-9]*>\\z", "")})
-    joined = parts.join(ids.select(F.col("placeholder").alias("_p"), F.col("value").alias("_v")), "_p", "left")
+    last = F.col("_p") == "<>"
+    parts = parts.select("_id", "_k", "_p", "_t", F.when(last, F.struct(*(F.col(f"`{c}`") for c in scrubbed_df.columns))).alias("_row"), F.when(last, F.concat("_p", "_id")).otherwise(F.col("_p")).alias("_j"))
+    joined = parts.join(ids.select(F.col("placeholder").alias("_j"), F.col("value").alias("_v")), "_j", "left")
     shown = F.concat("_t", F.coalesce("_v", F.when(F.col("_p") == "<>", "").otherwise(F.col("_p"))))
-    return joined.groupBy("_id", *scrubbed_df.columns).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", shown.alias("s")))), lambda x: x["s"]), "").alias("restored")).drop("_id")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_k", shown.alias("s")))), lambda x: x["s"]), "")
+    return joined.groupBy("_id").agg(F.first("_row", ignorenulls=True).alias("_row"), whole.alias("restored")).select("_row.*", "restored")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import ner
 from .functions.normalise import shadow_text
 from .operators.names import distinct_names, output_name
-from .operators.scrub import detect_findings, entity_counts, mapping, restore, scrub
+from .operators.scrub import detect_findings, entity_counts, mapping, restore, scrub, scrubbed_with_mapping
 from .operators.tables import preview, scrub_table
 from .sources.tables import read_table
 
@@ -196,8 +196,8 @@ def placeholder_scopes(spark, sf):
 
 @query(f"SELECT o_orderkey, '手機' || {_VISIT} || '與02-2720' || {_padded('o_custkey % 9', 4)} AS restored FROM orders")
 def placeholder_restore(spark, sf):
-    out = scrub(_visits(spark, sf), mode="placeholder", order="o_orderkey")
-    return restore(out.select("o_orderkey", "scrubbed"), "scrubbed", mapping(out, "o_orderkey")).select("o_orderkey", "restored")
+    out, ids = scrubbed_with_mapping(_visits(spark, sf), mode="placeholder", order="o_orderkey")
+    return restore(out.select("o_orderkey", "scrubbed"), "scrubbed", ids).select("o_orderkey", "restored")
 
 
 _WIDE = f"translate({_MOBILE}, '0123456789', '０１２３４５６７８９')"
