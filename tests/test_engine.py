@@ -317,3 +317,16 @@ def test_restore_shuffles_no_columns_with_its_parts(spark):
     back = restore(kept, "scrubbed", ids)
     assert back.columns == ["id", "scrubbed", "more", "restored"]
     assert {r.id: (r.more, r.restored) for r in back.collect()} == {k: ({"k": k}, t.replace("\n", "")) for k, t in enumerate(TEXTS) if t is not None}
+
+
+def test_placeholders_are_put_in_without_masks(spark):
+    df = spark.createDataFrame([(0, "手機0912\n345678與K182504372"), (1, None), (2, "無"), (3, "電話02-27200001,K18250\n4372"), (4, "x" * 60)], "id int, text string")
+    out = scrub(df, mode="placeholder", order="id", max_chars=50, on_long="quarantine")
+    # shuffles carry places only: no values, masks or names of rules
+    assert "findings" not in out.select("id", "scrubbed")._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
+    rows, masked = ({r.id: r for r in x.collect()} for x in (out, scrub(df, max_chars=50, on_long="quarantine")))
+    assert [rows[k].scrubbed for k in range(5)] == ["手機<MOBILE_1>與<TW_ID_1>", None, "無", "電話<PHONE_1>,<TW_ID_1>", None]
+    for k in range(5):
+        same = lambda r: [(f.entity_type, f.start, f.end, f.score, f.recognizer, f.value, f.original_masked) for f in r.findings]
+        assert same(rows[k]) == same(masked[k]) and rows[k].error == masked[k].error and rows[k].stats == masked[k].stats
+        assert all(rows[k].scrubbed[f.scrubbed_start : f.scrubbed_end] == f.replacement for f in rows[k].findings)

@@ -179,3 +179,14 @@ def test_a_batch_of_texts_is_looked_through_in_one_go(monkeypatch):
     monkeypatch.setattr(kernel, "look", lambda t, look=kernel.look: (looks.append(1), look(t))[1])
     kernel.detect_all([f"手機09{k:08d}" for k in range(1000)], ALL)
     assert len(looks) < 5
+
+
+def test_findings_apart_are_not_resolved_text_by_text(monkeypatch):
+    from veilspark.functions import detect as kernel
+
+    texts = ["手機" + (f"0912\n{k:06d}" if k % 2 else f"0912{k:06d}") + f"與02-2720{k % 9:04d}" for k in range(1000)]
+    want = [detect(t, ALL) for t in texts]
+    calls = []
+    for name in ("resolve", "without_contained", "Shadow"):
+        monkeypatch.setattr(kernel, name, lambda *a, f=getattr(kernel, name): (calls.append(1), f(*a))[1])
+    assert kernel.detect_all(texts, ALL) == want and {len(w) for w in want} == {2} and len(calls) < 5

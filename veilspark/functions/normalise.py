@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 #: The characters at which a value may be broken.
 BREAKS = " 　\r\n"
+WIDE_DIGIT = re.compile("[０-９]")
 _WIDE = str.maketrans("０１２３４５６７８９", "0123456789")
 _BEFORE, _AFTER = "[0-9A-Za-z@._]", "(?=[0-9A-Za-z@._])"
 _RUN = rf"(?:[ 　]|(?=[{BREAKS}]{{1,3}}(?![{BREAKS}]))[ 　]*(?:\r\n|\n|\r)[ 　]*)"
+_BREAKS = re.compile(f"[{BREAKS}]+")
 _JOIN = re.compile(rf"(?:(?<={_BEFORE})|(?<=[0-9A-Za-z]-)){_RUN}{_AFTER}")
 
 
@@ -22,13 +24,15 @@ class Shadow:
 
     def __init__(self, text: str):
         self.at, self.gone, gone, parts, end = [], [], 0, [], 0
-        for m in _JOIN.finditer(text):
+        # a join takes in all breaks in a row
+        for m in filter(None, (_JOIN.match(text, b.start()) for b in _BREAKS.finditer(text))):
             parts.append(text[end : m.start()])
             self.at.append(m.start() - gone)
             gone += m.end() - m.start()
             self.gone.append(gone)
             end = m.end()
-        self.text = ("".join(parts) + text[end:]).translate(_WIDE)
+        text = "".join(parts) + text[end:]
+        self.text = text.translate(_WIDE) if WIDE_DIGIT.search(text) else text
 
     def _place(self, p: int) -> int:
         k = bisect_right(self.at, p)

@@ -69,6 +69,7 @@ class Rule(NamedTuple):
     may: Callable[[Look], bool]
     context: tuple[str, ...]
     weak: bool = False  # below THRESHOLD without a word nearby
+    fixed: float | None = None  # the score, where it is always the same
 
 
 _DIGITS = re.compile(r"\d+")
@@ -111,7 +112,7 @@ def minguo_date_ok(value: str) -> bool:
 
 def rule(entity: str, name: str, pattern: str, judge: Callable[[str, bool], float | None] | float, may: Callable[[Look], bool] = lambda t: True, context: tuple[str, ...] = (), weak: bool = False) -> Rule:
     """judge: a score, or a function of the match and of whether a word of `context` is near."""
-    return Rule(entity, name, re.compile(pattern), judge if callable(judge) else lambda v, c: judge, may, context or CONTEXT.get(entity, ()), weak)
+    return Rule(entity, name, re.compile(pattern), judge if callable(judge) else lambda v, c: judge, may, context or CONTEXT.get(entity, ()), weak, None if callable(judge) else judge)
 
 
 def _run(n: int) -> Callable[[Look], bool]:
@@ -126,8 +127,10 @@ def _has(part: str) -> Callable[[Look], bool]:
     return lambda t: part in t.text
 
 
-def _alone(body: str, left: str = "0-9A-Za-z", right: str = "0-9A-Za-z") -> str:
-    return f"(?<![{left}])(?:{body})(?![{right}])"
+def _alone(first: str, rest: str, left: str = "0-9A-Za-z", right: str = "0-9A-Za-z") -> str:
+    """first (of one character), then rest, with none of left before and none of right after. As first leads, the search goes
+    from one such character to the next; with a condition in front it would stop at each character."""
+    return f"{first}(?<![{left}]{first})(?:{rest})(?![{right}])"
 
 
 _GAP = "[- 　]"
@@ -140,19 +143,19 @@ ADDRESS = (
 )
 
 RULES: tuple[Rule, ...] = (
-    rule("TW_NATIONAL_ID", "NationalId", _alone(r"[A-Z][1289]\d{8}"), lambda v, c: 0.95 if national_id_ok(v) else 0.1, _run(9)),
-    rule("TW_MOBILE", "Mobile", _alone(r"09\d{8}"), 0.85, _run(10)),
-    rule("TW_MOBILE", "Mobile", _alone(r"09\d\d-\d{3}-?\d{3}", "0-9A-Za-z-", "0-9A-Za-z-"), 0.85, lambda t: t.digits >= 10 and "-" in t.text),
-    rule("TW_PHONE", "Landline", _alone(rf"(?:\(0[2-8]\d{{0,2}}\)|0[2-8]\d{{0,2}}{_GAP})\d{{2,4}}{_GAP}?\d{{4}}", "0-9A-Za-z(-"), 0.75, _all(8)),
-    rule("TW_PHONE", "LandlineBare", _alone(r"0[2-8]\d{7,8}", "0-9A-Za-z(-", "0-9"), 0.45, _run(9), weak=True),
-    rule("TW_UBN", "BusinessNumber", _alone(r"\d{8}"), lambda v, c: (0.95 if c else 0.45) if business_number_ok(v) else (0.1 if c else None), _run(8), weak=True),
+    rule("TW_NATIONAL_ID", "NationalId", _alone("[A-Z]", r"[1289]\d{8}"), lambda v, c: 0.95 if national_id_ok(v) else 0.1, _run(9)),
+    rule("TW_MOBILE", "Mobile", _alone("0", r"9\d{8}"), 0.85, _run(10)),
+    rule("TW_MOBILE", "Mobile", _alone("0", r"9\d\d-\d{3}-?\d{3}", "0-9A-Za-z-", "0-9A-Za-z-"), 0.85, lambda t: t.digits >= 10 and "-" in t.text),
+    rule("TW_PHONE", "Landline", _alone("[(0]", rf"(?:(?<=\()0[2-8]\d{{0,2}}\)|(?<=0)[2-8]\d{{0,2}}{_GAP})\d{{2,4}}{_GAP}?\d{{4}}", "0-9A-Za-z(-"), 0.75, _all(8)),
+    rule("TW_PHONE", "LandlineBare", _alone("0", r"[2-8]\d{7,8}", "0-9A-Za-z(-", "0-9"), 0.45, _run(9), weak=True),
+    rule("TW_UBN", "BusinessNumber", _alone(r"\d", r"\d{7}"), lambda v, c: (0.95 if c else 0.45) if business_number_ok(v) else (0.1 if c else None), _run(8), weak=True),
     rule("EMAIL_ADDRESS", "Email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])", 1.0, _has("@")),
     rule("BIRTHDAY", "MinguoBirthday", r"(?<!\d)(?:1[0-2]\d|0[1-9]|[1-9]\d)\d{4}(?!\d)", lambda v, c: (0.95 if c else 0.45) if minguo_date_ok(v) else None, _run(6), weak=True),
-    rule("TW_POLICY_NO", "PolicyNumber", _alone(r"[A-Z]{2}\d{8}|[A-Z]{3}\d{7}|[A-Z]{4}\d{6}|[A-Z]{5}\d{5}"), lambda v, c: 0.95 if c else 0.7, _run(5)),
-    rule("TW_POLICY_NO", "PolicyNumber", _alone(r"\d{10}"), lambda v, c: 0.95 if c else 0.45, _run(10), weak=True),
-    rule("CREDIT_CARD", "PaymentCard", _alone(r"\d{16}|\d{4}-\d{4}-\d{4}-\d{4}", "0-9A-Za-z-", "0-9A-Za-z-"), lambda v, c: 0.95 if luhn_ok(v) else 0.1, _all(16)),
+    rule("TW_POLICY_NO", "PolicyNumber", _alone("[A-Z]", r"[A-Z]\d{8}|[A-Z]{2}\d{7}|[A-Z]{3}\d{6}|[A-Z]{4}\d{5}"), lambda v, c: 0.95 if c else 0.7, _run(5)),
+    rule("TW_POLICY_NO", "PolicyNumber", _alone(r"\d", r"\d{9}"), lambda v, c: 0.95 if c else 0.45, _run(10), weak=True),
+    rule("CREDIT_CARD", "PaymentCard", _alone(r"\d", r"\d{15}|\d{3}-\d{4}-\d{4}-\d{4}", "0-9A-Za-z-", "0-9A-Za-z-"), lambda v, c: 0.95 if luhn_ok(v) else 0.1, _all(16)),
     rule("AGENT_CODE", "AgentCode", r"代號[:：]?\s?\d{2,3}(?!\d)", 0.9, _has("代號")),
-    rule("TW_BANK_ACCOUNT", "BankAccount", _alone(r"\d{13,14}"), lambda v, c: 0.95 if c else 0.75, _run(13)),
+    rule("TW_BANK_ACCOUNT", "BankAccount", _alone(r"\d", r"\d{12,13}"), lambda v, c: 0.95 if c else 0.75, _run(13)),
     rule("LOC", "Address", ADDRESS, 0.9, _has("號")),
 )
 
