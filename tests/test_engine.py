@@ -330,3 +330,12 @@ def test_placeholders_are_put_in_without_masks(spark):
         same = lambda r: [(f.entity_type, f.start, f.end, f.score, f.recognizer, f.value, f.original_masked) for f in r.findings]
         assert same(rows[k]) == same(masked[k]) and rows[k].error == masked[k].error and rows[k].stats == masked[k].stats
         assert all(rows[k].scrubbed[f.scrubbed_start : f.scrubbed_end] == f.replacement for f in rows[k].findings)
+
+
+def test_mapping_of_texts_makes_no_masked_texts(spark):
+    from veilspark.operators.scrub import text_mapping
+
+    df = spark.createDataFrame([(2, "手機0912\n345678與K182504372"), (1, None), (0, "無"), (3, "電話02-27200001,0912345678")], "id int, text string")
+    got = text_mapping(df, "text", "id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, mapping(scrub(df), "id").collect())) == [("MOBILE", "0912345678", "<MOBILE_1>"), ("PHONE", "02-27200001", "<PHONE_1>"), ("TW_ID", "K182504372", "<TW_ID_1>")]
+    assert "scrubbed" not in got._jdf.queryExecution().optimizedPlan().toString() and mapping(scrub(df), "id").columns == got.columns

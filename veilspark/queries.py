@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import ner
 from .functions.normalise import shadow_text
 from .operators.names import distinct_names, output_name
-from .operators.scrub import detect_findings, entity_counts, mapping, restore, scrub, scrubbed_with_mapping
+from .operators.scrub import detect_findings, entity_counts, restore, scrub, scrubbed_with_mapping, text_mapping
 from .operators.tables import preview, scrub_table
 from .sources.tables import read_table
 
@@ -185,7 +185,7 @@ def placeholder_of_broken_values(spark, sf):
 
 @query(_VISITS + "SELECT 'MOBILE' AS tag, m AS value, '<MOBILE_' || k || '>' AS placeholder FROM a UNION ALL SELECT 'PHONE', p, '<PHONE_' || k || '>' FROM b")
 def placeholder_mapping(spark, sf):
-    return mapping(scrub(_visits(spark, sf)), "o_orderkey").select("tag", "value", "placeholder")
+    return text_mapping(_visits(spark, sf), "text", "o_orderkey").select("tag", "value", "placeholder")
 
 
 @query(_VISITS + """, c AS (SELECT branch, m, row_number() OVER (PARTITION BY branch ORDER BY min(o_orderkey)) AS k FROM v GROUP BY branch, m), d AS (SELECT branch, p, row_number() OVER (PARTITION BY branch ORDER BY min(o_orderkey)) AS k FROM v GROUP BY branch, p)
